@@ -15,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,12 +28,26 @@ KNOWN = 400_000
 #: Longer words are encoded anew each time.
 LONG_WORD = 64
 
+# 1: ASCII letters and digits, 2: ASCII punctuation.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[c for c in range(33, 127)]] = 2
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the rest for U+0100 and on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
 
 class WordEncoder:
     """Token ids as little-endian unsigned 32-bit bytes, word by word.
 
-    The tokenizer's own split never joins characters over white space, so a text's ids are those of its
-    words in turn; each distinct word of a batch is encoded once and remembered.
+    The tokenizer's own split never joins characters over white space, nor a letter or digit with ASCII
+    punctuation behind it, so a text's ids are those of its words in turn; each distinct word of a batch is
+    encoded once, and the first KNOWN words are remembered. A word of Latin letters is one split of its own, and
+    goes straight to the tokenizer's merges; all others take its whole path.
     """
 
     def __init__(self, path: str):
@@ -42,27 +57,43 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
 
+    def words(self, text: bytes) -> list[bytes]:
+        if b"<|" in text:  # may hold the name of a special token, which has its own case and split
+            return text.split()
+        raw = np.frombuffer(text, np.uint8)
+        kind = _KIND[raw]
+        at = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+        return np.insert(raw, at, 32).tobytes().lower().split()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [self.words(t) for t in texts]
         known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > KNOWN and known:
-            known.clear()
-            new = {w for words in split for w in words}
-        got = dict(self._encoded(list(new)))
-        known.update((w, ids) for w, ids in got.items() if len(w) <= LONG_WORD and len(known) < KNOWN)
-        if len(got) and any(w not in known for w in got):
-            return [b"".join([known.get(w) if w in known else got[w] for w in words]) for words in split]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
-
-    def _encoded(self, words: list[bytes]):
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids = e.ids
-                yield w, struct.pack(f"<{len(ids)}I", *ids)
+        got = {w: self._encoded(w) for w in {w for words in split for w in words if w not in known}}
+        if len(known) + len(got) <= KNOWN and max(map(len, got), default=0) <= LONG_WORD:
+            known.update(got)
+            return [b"".join(map(known.__getitem__, words)) for words in split]
+        out = [b"".join([known[w] if w in known else got[w] for w in words]) for words in split]
+        for w, ids in got.items():
+            if len(known) >= KNOWN:
+                break
+            if len(w) <= LONG_WORD:
+                known[w] = ids
+        return out
+
+    def _encoded(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: ASCII letters only, lower-cased already
+            ids = [t.id for t in self.merges.tokenize(word.decode().lower())]
+        else:
+            text = word.decode()
+            if text.isalpha() and max(text) <= "\u017f" and "\u0130" not in text:  # composed letters with a plain lower case
+                ids = [t.id for t in self.merges.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _encoders: dict[str, WordEncoder] = {}
