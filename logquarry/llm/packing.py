@@ -70,18 +70,20 @@ class WordEncoder:
         return np.insert(raw, at, 32).tobytes().lower().split()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        known = self.known
-        got = {w: self._encoded(w) for w in {w for words in split for w in words if w not in known}}
-        if len(known) + len(got) <= KNOWN and max(map(len, got), default=0) <= LONG_WORD:
-            known.update(got)
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        out = [b"".join([known[w] if w in known else got[w] for w in words]) for words in split]
-        for w, ids in got.items():
-            if len(known) >= KNOWN:
-                break
-            if len(w) <= LONG_WORD:
-                known[w] = ids
+        get, known, rare, out = self.known.get, self.known, {}, []
+        for text in texts:
+            words = self.words(text)
+            ids = list(map(get, words))
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                w = words[at]
+                found = known.get(w) or rare.get(w)
+                if found is None:
+                    found = self._encoded(w)
+                    (known if len(known) < KNOWN and len(w) <= LONG_WORD else rare)[w] = found
+                ids[at] = found
+            out.append(b"".join(ids))
         return out
 
     def _encoded(self, word: bytes) -> bytes:
