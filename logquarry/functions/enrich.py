@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import BOT_FAMILIES, BOT_PATTERN, FAMILY_RULES, UNKNOWN_COUNTRY
+from ..schema import BOT_ENDING, BOT_FAMILIES, BOT_WORDS, FAMILY_RULES, UNKNOWN_COUNTRY
 from .parsing import ipv4_number
 
 
+def _has(text: Column, how: str, parts: tuple[str, ...]) -> Column:
+    tests = [text.startswith(p) if how == "start" else text.contains(p) for p in parts]
+    return reduce(operator.and_ if how == "all" else operator.or_, tests)
+
+
 def family(user_agent: Column) -> Column:
     out = F.when(user_agent == "", "Unknown")
-    for name, pattern in FAMILY_RULES:
-        out = out.when(user_agent.rlike(pattern), name)
+    for name, how, parts in FAMILY_RULES:
+        out = out.when(_has(user_agent, how, parts), name)
     return out.otherwise("Unknown")
 
 
+_KNOWN = [name for name, _, _ in FAMILY_RULES] + ["Unknown"]
+_KNOWN_BOTS = [n for n in _KNOWN if any(token in n.lower() for token in BOT_FAMILIES)]
+
+
 def is_bot(user_agent: Column, family_name: Column) -> Column:
-    listed = F.lower(family_name).rlike("|".join(BOT_FAMILIES))
-    return (user_agent != "") & (listed | user_agent.rlike(BOT_PATTERN))
+    """By the family (those of our own rules are settled beforehand) or the words of the agent; an empty agent is none."""
+    low = F.lower(user_agent)
+    listed = family_name.isin(_KNOWN_BOTS) | (~family_name.isin(_KNOWN) & F.lower(family_name).rlike("|".join(BOT_FAMILIES)))
+    return (user_agent != "") & (listed | _has(low, "any", BOT_WORDS) | low.rlike(BOT_ENDING))
 
 
 def with_country(df: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:

@@ -67,7 +67,7 @@ def _render(source: str, words: dict[str, str]) -> str:
 
 def lines(spark: SparkSession, sf_dir: str, source: str = "events") -> DataFrame:
     """(id, value): raw lines; id gives the arrival order."""
-    table = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{source}.parquet").repartition(spark.sparkContext.defaultParallelism)  # one small file each
     return spark.sql("WITH " + _render(source, SPARK).replace(f"FROM {source}", "FROM {t}", 1) + " SELECT id, value FROM lines", t=table)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.parsing import FIELDS, LINE_PATTERN
-from ..schema import BOT_FAMILIES, BOT_PATTERN, FAMILY_RULES, FILE_EXTENSIONS, METHODS, MONTHS, PROTOCOLS
+from ..schema import BOT_ENDING, BOT_FAMILIES, BOT_WORDS, FAMILY_RULES, FILE_EXTENSIONS, METHODS, MONTHS, PROTOCOLS
 from .adapters import duckdb_lines
 
 #: Country ranges of the test queries.
@@ -52,8 +52,14 @@ DATE = f"substr(time, 8, 4) || '-' || {MONTH_NUMBER} || '-' || substr(time, 1, 2
 CLOCK_OK = r"regexp_matches(time, '^[0-9]{2}/[A-Za-z]{3}/[0-9]{4}:([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9] [+-][0-9]{4}') AND try_cast(" + DATE + " AS DATE) IS NOT NULL"
 EPOCH = "CAST(epoch(try_strptime(substr(time, 1, 20), '%d/%b/%Y:%H:%M:%S')) AS BIGINT) - CASE substr(time, 22, 1) WHEN '-' THEN -1 ELSE 1 END * (CAST(substr(time, 23, 2) AS BIGINT) * 3600 + CAST(substr(time, 25, 2) AS BIGINT) * 60)"
 EXT = r"regexp_extract({p}, '(\.[^./]*)$', 1)"
-FAMILY = "CASE WHEN user_agent = '' THEN 'Unknown' " + " ".join(f"WHEN regexp_matches(user_agent, '{p}') THEN '{n}'" for n, p in FAMILY_RULES) + " ELSE 'Unknown' END"
-IS_BOT = f"user_agent <> '' AND (regexp_matches(lower({FAMILY}), '{'|'.join(BOT_FAMILIES)}') OR regexp_matches(user_agent, '{BOT_PATTERN}'))"
+
+
+def _pattern(how: str, parts: tuple[str, ...]) -> str:
+    return ".*".join(parts) if how == "all" else ("^" if how == "start" else "") + "(" + "|".join(parts) + ")"
+
+
+FAMILY = "CASE WHEN user_agent = '' THEN 'Unknown' " + " ".join(f"WHEN regexp_matches(user_agent, '{_pattern(how, parts)}') THEN '{n}'" for n, how, parts in FAMILY_RULES) + " ELSE 'Unknown' END"
+IS_BOT = f"user_agent <> '' AND (regexp_matches(lower({FAMILY}), '{'|'.join(BOT_FAMILIES)}') OR regexp_matches(user_agent, '(?i){'|'.join((BOT_ENDING, *BOT_WORDS))}'))"
 METHOD = f"CASE WHEN method IN ({literals(METHODS)}) THEN method ELSE 'other' END"
 PROTO = "CASE proto " + " ".join(f"WHEN '{p}' THEN '{n}'" for p, n in PROTOCOLS.items()) + " ELSE 'other' END"
 STATUS_CLASS = "CASE WHEN status BETWEEN 200 AND 299 THEN '2xx' WHEN status < 400 THEN '3xx' WHEN status < 500 THEN '4xx' ELSE '5xx' END"

@@ -28,8 +28,9 @@ BOT_FAMILIES = (
     "python-requests", "curl", "wget", "java", "apache-httpclient", "go-http-client",
 )
 
-# Fixed value: raw user agents that are bots, whatever their case.
-BOT_PATTERN = r"(?i)bot\b|crawl|spider|scraper|archiver|checker|monitor|validator|fetcher|reader|slurp|indexer"
+# A raw user agent that has one of these, whatever its case, or a word that ends in "bot", is a bot.
+BOT_WORDS = ("crawl", "spider", "scraper", "archiver", "checker", "monitor", "validator", "fetcher", "reader", "slurp", "indexer")
+BOT_ENDING = r"bot\b"
 
 UNKNOWN_COUNTRY = ("--", "Unknown")
 
@@ -58,13 +59,13 @@ PALETTE = ("#52c493", "#66ddff", "#ff7a7a", "#ffc055", "#7090ff", "#ffea66", "#b
 STATUS_COLOURS = {2: "#52c493", 3: "#7090ff", 4: "#ffc055", 5: "#ff7a7a"}
 OTHER_COLOUR = "#bab0ac"
 
-#: Browser families by the first matching pattern; own rules.
+#: Browser families by the first rule that holds: the agent starts with, has any of, or has all of the texts. Own rules.
 FAMILY_RULES = (
-    ("Googlebot", r"Googlebot"), ("bingbot", r"bingbot"), ("YandexBot", r"YandexBot"), ("AhrefsBot", r"AhrefsBot"),
-    ("curl", r"^curl/"), ("Wget", r"^Wget/"), ("python-requests", r"^python-requests/"), ("Python-urllib", r"^Python-urllib/"),
-    ("Go-http-client", r"^Go-http-client/"), ("Java", r"^Java/"), ("Apache-HttpClient", r"^Apache-HttpClient/"), ("libwww-perl", r"libwww-perl"),
-    ("Edge", r"Edg(e|A|iOS)?/"), ("Opera", r"OPR/|Opera"), ("Samsung Internet", r"SamsungBrowser/"), ("Vivaldi", r"Vivaldi/"),
-    ("Firefox", r"Firefox/|FxiOS/"), ("Chrome", r"Chrome/|CriOS/"), ("Safari", r"Version/[0-9.]+.*Safari/"), ("Internet Explorer", r"MSIE |Trident/"),
+    ("Googlebot", "any", ("Googlebot",)), ("bingbot", "any", ("bingbot",)), ("YandexBot", "any", ("YandexBot",)), ("AhrefsBot", "any", ("AhrefsBot",)),
+    ("curl", "start", ("curl/",)), ("Wget", "start", ("Wget/",)), ("python-requests", "start", ("python-requests/",)), ("Python-urllib", "start", ("Python-urllib/",)),
+    ("Go-http-client", "start", ("Go-http-client/",)), ("Java", "start", ("Java/",)), ("Apache-HttpClient", "start", ("Apache-HttpClient/",)), ("libwww-perl", "any", ("libwww-perl",)),
+    ("Edge", "any", ("Edg/", "Edge/", "EdgA/", "EdgiOS/")), ("Opera", "any", ("OPR/", "Opera")), ("Samsung Internet", "any", ("SamsungBrowser/",)), ("Vivaldi", "any", ("Vivaldi/",)),
+    ("Firefox", "any", ("Firefox/", "FxiOS/")), ("Chrome", "any", ("Chrome/", "CriOS/")), ("Safari", "all", ("Version/", "Safari/")), ("Internet Explorer", "any", ("MSIE ", "Trident/")),
 )
 
 LINES = T.StructType([T.StructField("id", T.LongType()), T.StructField("value", T.StringType())])
