@@ -183,7 +183,7 @@ _predictors: dict[int, tuple[Net, Predictor]] = {}
 
 
 def identify(docs: DataFrame, net: Net | None) -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score (in place of columns so named)."""
     unknown = docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
     if net is None:
         return unknown

@@ -109,10 +109,11 @@ def _without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with the text that is left, n_lines and n_removed; all other columns as they were."""
-    drop = repeated(docs)
-    joined = docs.withColumn("__doc", doc_key()).join(drop.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    cleaned = joined.withColumn("__w", F.pandas_udf(_without, "text string, n_lines long, n_removed long").asNondeterministic()(text_bytes(), F.col("drop")))
+    """docs with the text that is left, n_lines and n_removed (in place of columns so named); all others as they were."""
+    docs = docs.drop("n_lines", "n_removed")
+    drop = repeated(docs).select(F.col("doc").alias("__doc"), F.col("drop").alias("__drop"))
+    joined = docs.withColumn("__doc", doc_key()).join(drop, "__doc", "left")
+    cleaned = joined.withColumn("__w", F.pandas_udf(_without, "text string, n_lines long, n_removed long").asNondeterministic()(text_bytes(), F.col("__drop")))
     none = F.col("text").isNull()
     return cleaned.select(
         *[F.when(none, None).otherwise(F.coalesce("__w.text", "text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],

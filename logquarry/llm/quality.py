@@ -206,6 +206,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score double and predicted int."""
-    rated = statistics(docs).withColumn("score", model.column()).drop("statistics")
+    """docs with score double and predicted int (in place of columns so named)."""
+    rated = statistics(docs, "__statistics").withColumn("score", model.column("__statistics")).drop("__statistics")
     return rated.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -109,16 +109,14 @@ def super_kmers(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarr
 
 
 def settle(order: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> np.ndarray:
-    """For rows with equal `same` columns: True for all but the first in `order` (most significant first)."""
+    """For rows with equal `same` columns: True for all that come after the first in `order` (most significant first); its ties are not after it."""
     index = np.lexsort((*order[::-1], *same[::-1]))
-    later = np.ones(len(index), bool)
-    later[:1] = False
-    equal = np.ones(max(len(index) - 1, 0), bool)
-    for c in same:
-        equal &= c[index[1:]] == c[index[:-1]]
-    later[1:] = equal
+    new = np.ones(len(index), bool)
+    if len(index) > 1:
+        new[1:] = np.logical_or.reduce([c[index[1:]] != c[index[:-1]] for c in same])
+    first = index[np.flatnonzero(new)][np.cumsum(new) - 1]
     out = np.zeros(len(index), bool)
-    out[index] = later
+    out[index] = np.logical_or.reduce([c[index] != c[first] for c in order])
     return out
 
 
@@ -165,7 +163,7 @@ def spans(docs: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
     form = F.when(is_open, F.col("content"))
     told = (
         rows.withColumn("__open", is_open)
-        .withColumn("place", F.row_number().over(by_form))
+        .withColumn("place", F.rank().over(by_form))
         .withColumn("forms", F.min(form).over(by_low) != F.max(form).over(by_low))
         .withColumn("state", F.when(~F.col("__open") | (F.col("place") > 1), REPEAT).when(F.col("forms") | (F.col("state") == SELF), OPEN))
         .where("state is not null")
@@ -204,7 +202,7 @@ def spans(docs: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, types, strict=True)], ["one", "two", "doc", "start", "stop", "state"])
 
     windows = keyed.join(told, "doc").select("doc", "text", "runs").mapInArrow(open_runs, "one long, two long, doc long, start int, stop int, state byte")
-    place = F.row_number().over(W.partitionBy("one", "two", "state").orderBy("doc", "start"))
+    place = F.rank().over(W.partitionBy("one", "two", "state").orderBy("doc", "start"))
     return keyed, windows.withColumn("place", place).where((F.col("state") == REPEAT) | (F.col("place") > 1)).select("doc", "start", "stop")
 
 
