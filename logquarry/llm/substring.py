@@ -163,8 +163,8 @@ def spans(docs: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
     form = F.when(is_open, F.col("content"))
     told = (
         rows.withColumn("__open", is_open)
+        .withColumn("forms", F.min(form).over(by_low) != F.max(form).over(by_low))  # first: its exchange serves the next window too
         .withColumn("place", F.rank().over(by_form))
-        .withColumn("forms", F.min(form).over(by_low) != F.max(form).over(by_low))
         .withColumn("state", F.when(~F.col("__open") | (F.col("place") > 1), REPEAT).when(F.col("forms") | (F.col("state") == SELF), OPEN))
         .where("state is not null")
         .groupBy("doc")
