@@ -53,14 +53,13 @@ def word_and_mask(key: Column, words: int) -> tuple[Column, Column]:
     return word, mask
 
 
-def blocked_bloom(keys: DataFrame, words: int) -> list[int]:
-    """The filter's words; keys has one column, key."""
+def blocked_bloom(keys: DataFrame, words: int) -> DataFrame:
+    """One row, table: the filter's words as an array. keys has one column, key."""
     word, mask = word_and_mask(F.col("key"), words)
-    rows = keys.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits")).collect()  # at most one row a word
-    table = [0] * words
-    for r in rows:
-        table[r["word"]] = r["bits"]
-    return table
+    bits = keys.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    dense = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return dense.agg(F.transform(ordered, lambda w: w["bits"]).alias("table"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -79,16 +78,14 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in sorted(lengths)]), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
     keys = F.flatten(F.transform(host_suffixes(F.col("host")), lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     keys = F.when(F.col("host") != "", keys).otherwise(F.array().cast("array<string>"))
+    # A page's first possible key always stays, so that no page is lost; the others only if the filter lets them pass.
+    hits = rows.select("row", "page_id", "host", "path", F.posexplode_outer(F.array_distinct(keys)).alias("pos", "key"))
     if 0 < n <= MAX_IN_FILTER:
         words = max(1, -(-n * BITS_PER_KEY // 64))
-        table = F.lit(blocked_bloom(listed.select("key"), words))
-
-        def possible(key):
-            word, mask = word_and_mask(key, words)
-            return F.element_at(table, word + 1).bitwiseAND(mask) == mask
-
-        keys = F.filter(keys, possible)
-    hits = rows.select("row", "page_id", "host", "path", F.explode_outer(F.array_distinct(keys)).alias("key"))
+        word, mask = word_and_mask(F.col("key"), words)
+        table = blocked_bloom(listed.select("key"), words).scalar()  # an uncorrelated subquery: computed once, one value a task
+        passes = F.element_at(table, word + 1).bitwiseAND(mask) == mask
+        hits = hits.where(F.col("key").isNull() | (F.col("pos") == 0) | passes)
     found = hits.join(listed.drop("path_length"), "key", "left")
     best = F.max(F.when(F.col("listed_verdict").isNotNull(), F.struct(F.length("key").alias("n"), F.col("key"), F.col("listed_verdict"))))
     out = found.groupBy("row", "page_id", "host", "path").agg(best.alias("best"))
