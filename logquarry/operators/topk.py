@@ -37,22 +37,29 @@ def merge_and_trim(parts: DataFrame, key: str, k: int, *metrics: str) -> DataFra
     return top_per_period(summed, key, k, *metrics).drop("rn")
 
 
+def _split(counts: DataFrame, latest_periods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows before, rows in the latest period of their grain)."""
+    joined = counts.join(F.broadcast(latest_periods), "grain")  # a row a grain
+    return joined.where("period < latest").drop("latest"), joined.where("period >= latest").drop("latest")
+
+
 def pretrim(counts: DataFrame, key: str, n: int, latest_periods: DataFrame) -> DataFrame:
     """Periods before the latest keep the union of the n best by hits and the n best by bandwidth."""
-    by = W.partitionBy("grain", "period")
-    ranked = counts.withColumn("rh", F.row_number().over(by.orderBy(*_order(key, "hits", "bandwidth")))).withColumn("rb", F.row_number().over(by.orderBy(*_order(key, "bandwidth", "hits"))))
-    kept = ranked.join(F.broadcast(latest_periods), "grain").where((F.col("period") >= F.col("latest")) | (F.col("rh") <= n) | (F.col("rb") <= n))
-    return kept.drop("rh", "rb", "latest")
+    old, new = _split(counts, latest_periods)
+    best = [top_per_period(old, key, n, *metrics).drop("rn") for metrics in (("hits", "bandwidth"), ("bandwidth", "hits"))]
+    return best[0].unionByName(best[1]).distinct().unionByName(new)
 
 
 def prune(counts: DataFrame, key: str, n: int, k: int | None, *metrics: str) -> DataFrame:
-    """Old periods keep the n best; the latest of each grain keeps k (all, if k is None). n = 0 prunes nothing."""
+    """Old periods keep the n best; the latest of each grain keeps k (all, if k is None). n = 0 prunes nothing.
+
+    Each part has a plain rank limit, which Spark applies before the shuffle too; whole latest periods are not ranked.
+    """
     if n <= 0:
         return counts
-    rank = F.row_number().over(W.partitionBy("grain", "period").orderBy(*_order(key, *metrics)))
-    joined = counts.withColumn("rn", rank).join(F.broadcast(latest(counts)), "grain")
-    room = F.lit(k) if k is not None else F.col("rn")
-    return joined.where(F.col("rn") <= F.when(F.col("period") == F.col("latest"), room).otherwise(n)).drop("rn", "latest")
+    old, new = _split(counts, latest(counts))
+    kept = new if k is None else top_per_period(new, key, k, *metrics).drop("rn")
+    return top_per_period(old, key, n, *metrics).drop("rn").unionByName(kept)
 
 
 def head_and_other(counts: DataFrame, key: str, n: int, by: tuple[str, ...] = ("grain", "period")) -> DataFrame:

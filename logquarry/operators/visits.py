@@ -25,6 +25,26 @@ def mark_visits(hits: DataFrame, state: DataFrame | None = None) -> DataFrame:
     return out.drop("__before", "__seen")
 
 
+def mark_visits_split(hits: DataFrame, state: DataFrame | None = None, slot_seconds: int = 3600) -> DataFrame:
+    """mark_visits() for inputs where one visitor may hold a large share of all hits.
+
+    A visitor's hits are split into time slots: gaps inside a slot come from a window over (ip, slot), and only
+    each slot's first hit looks back, to the last hit of the visitor's slot before, found in a window over
+    one row a slot. Reads hits twice: persist them first.
+    """
+    slot = F.floor(F.col("ts") / slot_seconds)
+    rows = hits.withColumn("__slot", slot)
+    rows = rows.withColumn("__before", F.lag("ts").over(W.partitionBy("ip", "__slot").orderBy("ts", "id")))
+    ends = hits.groupBy("ip", slot.alias("__slot")).agg(F.max("ts").alias("__last"))
+    seen = F.lag("__last").over(W.partitionBy("ip").orderBy("__slot"))
+    ends = ends.withColumn("__seen", seen)
+    if state is not None:
+        ends = ends.join(state.select("ip", "last_seen"), "ip", "left").withColumn("__seen", F.coalesce("__seen", "last_seen"))
+    out = rows.join(ends.select("ip", "__slot", "__seen"), ["ip", "__slot"], "left").withColumn("__before", F.coalesce("__before", "__seen"))
+    out = out.withColumn("new_visit", F.col("__before").isNull() | (F.col("ts") - F.col("__before") > VISIT_SECONDS))
+    return out.select(*hits.columns, "new_visit")
+
+
 def arrival_visits(hits: DataFrame) -> DataFrame:
     """The same against the running maximum in arrival order (id): an older hit never starts a visit."""
     earlier = W.partitionBy("ip").orderBy("id").rowsBetween(W.unboundedPreceding, -1)

@@ -153,6 +153,9 @@ def j06_last_seen(s, d):
     return visits.mark_visits(h.where(F.col("ts") >= SPLIT), state).select("id", "ip", "ts", "new_visit")
 
 
+query("j06_last_seen_split", _sql["j06_last_seen"])(
+    lambda s, d: visits.mark_visits_split(hits(s, d, "events").where(F.col("ts") >= SPLIT), visits.visit_state(hits(s, d, "events").where(F.col("ts") < SPLIT))).select("id", "ip", "ts", "new_visit")
+)
 query("j07_anti_processed", O.with_hits(f"SELECT DISTINCT ip FROM hits WHERE ts >= {SPLIT} AND ip NOT IN (SELECT ip FROM hits WHERE ts < {SPLIT})"))(
     lambda s, d: upsert.insert_ignore(hits(s, d, "events").where(F.col("ts") < SPLIT).select("ip").distinct(), hits(s, d, "events").where(F.col("ts") >= SPLIT).select("ip"), ["ip"])
 )
@@ -267,6 +270,7 @@ query("a32_distinct_hosts", O.with_hits("SELECT DISTINCT ip FROM hits", "orders"
 # Visits and windows
 
 query("v01_visits", O.with_hits("SELECT id, ip, ts, new_visit FROM visited"))(lambda s, d: visits.mark_visits(hits(s, d, "events")).select("id", "ip", "ts", "new_visit"))
+query("v01_visits_split", O.with_hits("SELECT id, ip, ts, new_visit FROM visited"))(lambda s, d: visits.mark_visits_split(hits(s, d, "events")).select("id", "ip", "ts", "new_visit"))
 query("v02_arrival_order", O.with_hits("SELECT id, ip, ts, coalesce(ts - max(ts) OVER (PARTITION BY ip ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 1800, TRUE) AS new_visit FROM hits"))(
     lambda s, d: visits.arrival_visits(hits(s, d, "events")).select("id", "ip", "ts", "new_visit")
 )

@@ -105,7 +105,7 @@ class Store:
 
     def partials(self, hits: DataFrame, countries: bool) -> dict[str, DataFrame]:
         o, state = self.options, self.table("visit_state")
-        marked = visits.mark_visits(hits, state)
+        marked = visits.mark_visits_split(hits, state)  # hits are persisted
         out = {"hourly": rollup.hourly(marked), "agents": rollup.agent_counts(hits), "status": rollup.status_counts(hits), "methods": rollup.method_counts(hits), "protocols": rollup.protocol_counts(hits), "sketches": sketch.day_sketches(hits, o.precision)}
         if o.urls:
             out["urls"] = rollup.url_counts(hits)
