@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -50,6 +51,15 @@ def with_country(df: DataFrame, ranges: DataFrame, ip: str = "ip") -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("country_code", F.lit(code)).alias("country_code"), F.coalesce("country_name", F.lit(name)).alias("country_name"))
 
 
+def by_distinct(df: DataFrame, key: str, columns: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Adds columns that are computed once for each distinct key and joined back.
+
+    Worth it for dear functions of few distinct values; the planner broadcasts the distinct side if it is small.
+    """
+    found = df.select(key).distinct().select(key, *[f(F.col(key)).alias(n) for n, f in columns.items()])
+    return df.join(found, df[key].eqNullSafe(found[key]), "left").drop(found[key])
+
+
 def flag(code: Column) -> Column:
     """The flag of a two-letter code, else an empty text."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

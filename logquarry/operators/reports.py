@@ -101,3 +101,10 @@ def with_country_name(rows: DataFrame, names: DataFrame) -> DataFrame:
     code, name = UNKNOWN_COUNTRY
     out = rows.join(names.select("country_code", "country_name"), "country_code", "left")
     return out.withColumn("country_code", F.coalesce("country_code", F.lit(code))).withColumn("country_name", F.coalesce("country_name", F.lit(name)))
+
+
+def chart_data(days: DataFrame) -> DataFrame:
+    """(month, labels, hits): a month's day labels and hits in the order of the days, at most 31 of each."""
+    rows = days.groupBy(F.substring("date", 1, 7).alias("month")).agg(F.array_sort(F.collect_list(F.struct("date", "hits"))).alias("rows"))
+    labels = F.transform("rows", lambda r: fmt.day_label(r["date"]))
+    return rows.select("month", F.array_join(labels, ",").alias("labels"), F.array_join(F.transform("rows", lambda r: r["hits"].cast("string")), ",").alias("hits"))

@@ -70,11 +70,16 @@ def hourly(s: SparkSession, d: str, source: str = "orders") -> DataFrame:
 # Parsing
 
 query("p01_parse_line", O.with_records("SELECT * FROM records"))(lambda s, d: records(s, d))
+query("p02_min_length", O.with_records("SELECT octet_length(encode(value)) >= 29 AS long_enough, count(*) AS n FROM lines GROUP BY 1"))(lambda s, d: adapters.lines(s, d).groupBy((F.octet_length("value") + 1 >= 30).alias("long_enough")).agg(F.count("*").alias("n")))
+query("p03_timestamp", O.with_records("SELECT substr(time, 4, 3) AS month, length(time) AS n_chars, count(*) AS n FROM records GROUP BY ALL"))(lambda s, d: records(s, d).groupBy(F.substring("time", 4, 3).alias("month"), F.length("time").cast("long").alias("n_chars")).agg(F.count("*").alias("n")))
 query("p04_ascii_filter", O.with_records("SELECT count(*) AS lines, count(*) FILTER (regexp_matches(value, '^[ -~]*$')) AS printable, (SELECT count(*) FROM records) AS parsed FROM lines"))(
     lambda s, d: adapters.lines(s, d).agg(F.count("*").alias("lines"), F.count_if(F.col("value").rlike("^[ -~]*$")).alias("printable"), F.count_if(F.size(parsing.split_line(F.col("value"))) == len(parsing.FIELDS)).alias("parsed"))
 )
+query("p05_status", O.with_records("SELECT status, count(*) AS n FROM records GROUP BY 1"))(lambda s, d: records(s, d).groupBy("status").agg(F.count("*").alias("n")))
 query("p06_bytes_default", O.with_records("SELECT id, status, bytes FROM records"))(lambda s, d: records(s, d).select("id", "status", "bytes"))
 query("p07_request_split", O.with_records("SELECT id, method, path, proto FROM records"))(lambda s, d: records(s, d).select("id", "method", "path", "proto"))
+query("p08_protocol_filter", O.with_records("SELECT proto, count(*) AS n FROM records GROUP BY 1"))(lambda s, d: records(s, d).groupBy("proto").agg(F.count("*").alias("n")))
+query("p09_dash", O.with_records("SELECT id, referer, user_agent FROM records WHERE referer = '' OR user_agent = ''"))(lambda s, d: records(s, d).where("referer = '' OR user_agent = ''").select("id", "referer", "user_agent"))
 query("p10_strip_query", "SELECT page_id, split_part(url, '?', 1) AS url FROM pages")(lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", parsing.strip_query(F.col("url")).alias("url")))
 query("p11_file_ext", "SELECT page_id, " + O.EXT.replace("{p}", "split_part(url, '?', 1)") + " AS ext FROM pages")(
     lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", parsing.file_extension(parsing.strip_query(F.col("url"))).alias("ext"))
@@ -111,6 +116,7 @@ query("f07_counts", O.with_hits("SELECT (SELECT count(*) FROM lines) AS lines, (
 query("e01_ua_family", O.with_records(f"SELECT DISTINCT user_agent, {O.FAMILY} AS family FROM records"))(lambda s, d: records(s, d).select("user_agent").distinct().select("user_agent", enrich.family(F.col("user_agent")).alias("family")))
 query("e02_bot", O.with_records(f"SELECT DISTINCT user_agent, {O.IS_BOT} AS bot FROM records"))(lambda s, d: records(s, d).select("user_agent").distinct().select("user_agent", enrich.is_bot(F.col("user_agent"), enrich.family(F.col("user_agent"))).alias("bot")))
 query("e03_geo_range", O.with_hits("SELECT id, ip, country_code, country_name FROM located", "events", O.LOCATED))(lambda s, d: located(s, d, "events").select("id", "ip", "country_code", "country_name"))
+query("e04_distinct_enrich", O.with_records(f"SELECT id, {O.FAMILY} AS family FROM records"))(lambda s, d: enrich.by_distinct(records(s, d).select("id", "user_agent"), "user_agent", {"family": enrich.family}).select("id", "family"))
 query("e05_country_dim", O.with_hits("SELECT country_code, coalesce(min(nullif(country_name, 'Unknown')), 'Unknown') AS country_name FROM located GROUP BY 1", "events", O.LOCATED))(lambda s, d: rollup.country_names(located(s, d, "events")))
 query("e06_flag", "SELECT n_name, CASE WHEN regexp_matches(left(n_name, 2), '^[A-Za-z]{2}$') THEN chr(127397 + ascii(upper(n_name[1]))) || chr(127397 + ascii(upper(n_name[2]))) ELSE '' END AS flag FROM nation")(
     lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_name", enrich.flag(F.substring("n_name", 1, 2)).alias("flag"))
@@ -143,6 +149,7 @@ query("j03_agg_then_join", O.with_hits(f"SELECT country_code, hits, coalesce(cou
 query("j04_sites_lookup", O.with_hits("SELECT m.*, s.sites FROM (SELECT month, count(*) AS hits FROM hits GROUP BY 1) m LEFT JOIN (SELECT month, count(DISTINCT ip) AS sites FROM hits GROUP BY 1) s USING (month)", "orders"))(
     lambda s, d: reports.with_sites(hits(s, d).groupBy("month").agg(F.count("*").alias("hits")), rollup.distinct_sites(hits(s, d)), "month")
 )
+query("j05_range_join", O.with_hits("SELECT DISTINCT ip, country_code FROM located", "orders", O.LOCATED))(lambda s, d: enrich.with_country(hits(s, d).select("ip").distinct(), geo(s)).select("ip", "country_code"))
 SPLIT = 1704931200
 
 
@@ -374,6 +381,11 @@ def m04_conditional(s, d):
 query("m05_replace", O.with_hits("SELECT ip, id, ts, status FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY id DESC) AS rn FROM hits) WHERE rn = 1"))(lambda s, d: upsert.replace_latest(hits(s, d, "events").select("ip", "id", "ts", "status"), ["ip"], "id"))
 query("m06_retain", O.with_hits(f"SELECT ip, max(ts) AS last_seen FROM hits GROUP BY 1 HAVING max(ts) >= {SPLIT}"))(lambda s, d: upsert.retain(visits.visit_state(hits(s, d, "events")), "last_seen", SPLIT))
 
+query(
+    "o06_chart_data",
+    O.with_hits("SELECT month, string_agg(label, ',' ORDER BY date) AS labels, string_agg(CAST(hits AS VARCHAR), ',' ORDER BY date) AS hits FROM (SELECT substr(date, 1, 7) AS month, date, split_part(date, '-', 3) AS label, count(*) AS hits FROM hits GROUP BY ALL) GROUP BY month", "orders"),
+)(lambda s, d: reports.chart_data(hits(s, d).groupBy("date").agg(F.count("*").alias("hits"))))
+
 # Formats
 
 ORDERS_N = "SELECT o_orderkey AS k, CAST(floor(o_totalprice * o_totalprice * (o_orderkey % 7) * (o_orderkey % 1000)) AS BIGINT) AS n FROM orders"
