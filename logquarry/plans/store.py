@@ -9,7 +9,6 @@ there rankings are pruned, since a dropped row could not be added to later.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from dataclasses import dataclass, field
 
@@ -57,23 +56,34 @@ class Store:
     root: str
     options: Options = field(default_factory=Options)
 
-    def __post_init__(self):
-        os.makedirs(self.root, exist_ok=True)
+    # The manifest goes through Hadoop's file systems, as the tables do: written aside, then renamed over the old one.
+    # An object store without an atomic rename needs its conditional put instead.
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    # The manifest is one small file replaced by rename; on an object store use its conditional put instead.
     def manifest(self) -> dict:
-        path = f"{self.root}/manifest.json"
-        if not os.path.exists(path):
+        path = self._path("manifest.json")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
             return {"version": 0, "batches": [], "tables": {}, "ledger": []}
-        with open(path) as f:
-            return json.load(f)
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _publish(self, manifest: dict) -> None:
         manifest["version"] += 1
-        draft = f"{self.root}/.manifest-{uuid.uuid4().hex}"
-        with open(draft, "w") as f:
-            json.dump(manifest, f)
-        os.replace(draft, f"{self.root}/manifest.json")
+        conf, jvm = self.spark._jsc.hadoopConfiguration(), self.spark._jvm
+        draft, path = self._path(f".manifest-{uuid.uuid4().hex}"), self._path("manifest.json")
+        out = draft.getFileSystem(conf).create(draft)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), conf).rename(draft, path, how)
 
     def _parts(self, table: str) -> DataFrame | None:
         dirs = self.manifest()["tables"].get(table, [])
