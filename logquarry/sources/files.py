@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
+
 CHUNK = 1 << 20
 BATCH_LINES = 20_000
 LINE_DDL = "path string, start long, stop long, value string"
@@ -76,6 +78,7 @@ def read_ranges(spark: SparkSession, ranges: list[tuple[str, int, int | None]])
     """(path, start, stop, value) of the lines in each (path, start, stop); one task a range."""
     if not ranges:
         return spark.createDataFrame([], LINE_DDL)
+    ship_package(spark)
     table = spark.createDataFrame(ranges, "path string, start long, stop long").repartition(len(ranges), "path", "start")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

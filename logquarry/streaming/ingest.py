@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..plans.store import Store
+from ..runtime import ship_package
 from ..schema import VISIT_SECONDS
 
 
@@ -57,4 +58,5 @@ class VisitStarts(StatefulProcessor):
 
 def visit_starts(hits: DataFrame) -> DataFrame:
     """(ip, id, ts) of hits that start a visit, from a stream of hits; needs the RocksDB state store."""
+    ship_package(hits.sparkSession)
     return hits.select("ip", "id", "ts").groupBy("ip").transformWithStateInPandas(VisitStarts(), "ip string, id long, ts long", "append", "none")
