@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import text_bytes
 
 Q = 8
@@ -171,6 +172,7 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[tuple
 
 def with_regions(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, name: str = "regions") -> DataFrame:
     """docs with an array of (item_id, start, stop, distance): places in the normalised text."""
+    ship_package(docs.sparkSession)
     out = docs.withColumn(name, F.array().cast(REGIONS_DDL))
     for ids, items in item_blocks(benchmark):
         udf = F.pandas_udf(_finder(ids, items, error), REGIONS_DDL).asNondeterministic()

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import text_bytes
 from .packing import slices
 
@@ -157,6 +158,7 @@ def held_out(column="doc_id") -> Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
     """Fits on about `sample` labelled documents, shared evenly by the languages and chosen by a hash of the id."""
+    ship_package(docs.sparkSession)
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out())
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
@@ -188,6 +190,8 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
     if net is None:
         return unknown
 
+    ship_package(docs.sparkSession)
+
     @F.pandas_udf("lang string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         predictor = Predictor(net)

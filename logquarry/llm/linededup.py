@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import cut, doc_key, mix64, text_bytes, written
 
 #: Lines in the rolling hash, one boundary in DIVISOR places, and lines of a chunk at least and at most.
@@ -62,6 +63,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(doc, drop): for each document with repeats, the places of the chunks to remove."""
     from xxhash import xxh3_64_intdigest
 
+    ship_package(docs.sparkSession)
     keyed = docs.where("text is not null").select(doc_key().alias("doc"), text_bytes().alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

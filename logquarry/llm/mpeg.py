@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import text_bytes
 from .packing import slices
 
@@ -266,6 +267,7 @@ def parse_column(df: DataFrame, column: str = "media") -> DataFrame:
 
     from pyspark.sql import types as T
 
+    ship_package(df.sparkSession)
     out = T.StructType([*df.schema.fields, T.StructField("mpeg", T.StructType.fromDDL(PARSED_DDL))])
     return df.mapInPandas(run, out)
 
@@ -275,6 +277,7 @@ DIGEST_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 stri
 
 def digest(docs: DataFrame) -> DataFrame:
     """Each document's text carried in an MPEG stream, read back from it, with the stream's features."""
+    ship_package(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("seek_offsets", pa.list_(pa.int64()))])
 
     def row(doc, raw: bytes) -> tuple:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import text_bytes, written
 
 #: Words kept between batches; bounds a worker's memory, never the result.
@@ -130,6 +131,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_length: int = 4096, end_id: i
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for)."""
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
+    ship_package(docs.sparkSession)
     end = struct.pack("<I", end_id)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("place", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
 

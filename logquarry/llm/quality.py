@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import text_bytes
 
 STATISTICS = (
@@ -60,6 +61,7 @@ def _statistics(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def statistics(docs: DataFrame, name: str = "statistics") -> DataFrame:
     """docs with a struct of STATISTICS of its text."""
+    ship_package(docs.sparkSession)
     udf = F.pandas_udf(_statistics, ", ".join(f"{s} double" for s in STATISTICS)).asNondeterministic()
     return docs.withColumn(name, udf(text_bytes()))
 

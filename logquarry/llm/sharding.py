@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import mix64, text_bytes, with_row_numbers
 
 ROUNDS = 6
@@ -63,4 +64,5 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0x5EED) -> DataFrame:
             cols = [*b.columns, pa.array((at % shards).astype(np.int32)), pa.array(at // shards)]
             yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "shard", "slot"])
 
+    ship_package(docs.sparkSession)
     return numbered.mapInArrow(run, "doc_id long, size long, text_crc32 long, row_number long, shard int, slot long")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import components, cut, min_labels, text_bytes, written
 
 #: Rows of one bucket that one task compares with one another (twice that for a pair of blocks).
@@ -58,6 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
+    ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -213,6 +215,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         if len(held_k):
             yield from forest(held_k, held_v)
 
+    ship_package(fps.sparkSession)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("key", "fp").repartition(n, *by).sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(run, "src long, dst long")

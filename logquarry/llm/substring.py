@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
 from .common import doc_key, from_doc_key, mix64, text_bytes
 from .packing import slices
 
@@ -142,6 +143,7 @@ def spans(docs: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
     A word is to be removed if a window over it holds the words of an earlier window: one of a smaller
     doc_id, or of the same document at an earlier place.
     """
+    ship_package(docs.sparkSession)
     keyed = docs.select(doc_key().alias("doc"), text_bytes().alias("text"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
