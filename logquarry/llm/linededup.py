@@ -68,18 +68,21 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, hashes, places = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for i, (_, n, body) in enumerate(chunks(t)):
-                    if n >= LEAST:
-                        doc.append(d)
-                        hashes.append(xxh3_64_intdigest(body))
-                        places.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(doc, pa.int64()), pa.array(places, pa.int32())], ["hash", "doc", "place"])
-
-    all_chunks = written(keyed.mapInArrow(hashed, "hash long, doc long, place int"))
-    first = cut(all_chunks.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last")).where("first <> last").select("hash", "first"))
-    marks = all_chunks.join(first, "hash").select("doc", "hash", "place", (F.struct("doc", "place") == F.col("first")).alias("is_first"))
+            rows = [(d, i, body) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, (_, n, body) in enumerate(chunks(t)) if n >= LEAST]
+            lowest: dict[bytes, tuple[int, int]] = {}
+            for d, i, body in rows:
+                if body not in lowest or (d, i) < lowest[body]:
+                    lowest[body] = (d, i)
+            hashes = np.fromiter((xxh3_64_intdigest(body) for _, _, body in rows), np.uint64, len(rows))
+            settled = [(d, i) != lowest[body] for d, i, body in rows]
+            cols = [pa.array(hashes.view(np.int64)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(settled, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, ["hash", "doc", "place", "settled"])
+
+    # A batch settles its own repeats, byte by byte; only their first goes on, so a chunk that very many documents share arrives once a batch.
+    all_chunks = written(keyed.mapInArrow(hashed, "hash long, doc long, place int, settled boolean"))
+    left = all_chunks.where("not settled").drop("settled")
+    first = cut(left.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last")).where("first <> last").select("hash", "first"))
+    marks = left.join(first, "hash").select("doc", "hash", "place", (F.struct("doc", "place") == F.col("first")).alias("is_first"))
     marked = marks.distinct().groupBy("doc").agg(F.collect_list(F.struct("hash", "place", "is_first")).alias("marks"))  # a document's own chunks
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +97,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = written(keyed.join(marked, "doc").select("doc", "text", "marks").mapInArrow(bodies, "hash long, doc long, place int, is_first boolean, body binary"))
     source = found.where("is_first").groupBy("hash").agg(F.first("body").alias("source"))
     same = found.where("not is_first").join(written(source), "hash").where(F.col("body") == F.col("source"))
-    return same.select("doc", "place").distinct().groupBy("doc").agg(F.collect_list("place").alias("drop"))
+    gone = same.select("doc", "place").unionByName(all_chunks.where("settled").select("doc", "place"))
+    return gone.distinct().groupBy("doc").agg(F.collect_list("place").alias("drop"))
 
 
 def _without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
