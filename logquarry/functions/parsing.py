@@ -48,14 +48,17 @@ def strip_query(path: Column) -> Column:
 
 
 def file_extension(path: Column) -> Column:
-    return F.regexp_extract(path, r"(\.[^./]*)$", 1)
+    """From the last dot of the last segment, else empty."""
+    name = F.substring_index(path, "/", -1)
+    return F.when(name.contains("."), F.concat(F.lit("."), F.substring_index(name, ".", -1))).otherwise("")
 
 
 def referrer_host(url: Column) -> Column:
     """After the first :// up to / : or ?; null if there is none or it is empty."""
-    at = F.instr(url, "://")
-    host = F.regexp_extract(F.substr(url, at + F.lit(3)), "^([^/:?]+)", 1)
-    return F.when((at > 0) & (host != ""), host)
+    host = F.substr(url, F.instr(url, "://") + F.lit(3))
+    for end in "/:?":
+        host = F.substring_index(host, end, 1)
+    return F.when(url.contains("://"), F.nullif(host, F.lit("")))
 
 
 def ipv4_number(ip: Column) -> Column:
@@ -100,7 +103,8 @@ def ipv6_groups(ip: Column) -> Column:
 def ip_key(ip: Column) -> Column:
     """Equal for equal addresses however they are spelt; other text stands for itself."""
     dotted = F.regexp_replace(ip, F.lit(r"(^|\.)0+(?=[0-9])"), F.lit("$1"))
-    return F.when(ip.rlike(V4_PATTERN), dotted).when(ip.contains(":"), F.coalesce(ipv6_groups(ip), ip)).otherwise(ip)
+    zeros = ip.startswith("0") | ip.contains(".0")  # few addresses need the rewriting
+    return F.when(ip.rlike(V4_PATTERN), F.when(zeros, dotted).otherwise(ip)).when(ip.contains(":"), F.coalesce(ipv6_groups(ip), ip)).otherwise(ip)
 
 
 def host_kind(key: Column) -> Column:
