@@ -15,11 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Bits a listed URL, bits set in its word; the filter's size is a fixed multiple of the list's.
 BITS_PER_KEY = 24
 BITS_SET = 6
 #: Most listed URLs whose filter (3 bytes a URL) is kept in the plan; beyond it the join alone decides.
 MAX_IN_FILTER = 1_000_000
+#: Most listed URLs that are broadcast for the exact join; longer lists are shuffled, and hot keys split by the skew join.
+MAX_BROADCAST = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -86,7 +90,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         table = blocked_bloom(listed.select("key"), words).scalar()  # an uncorrelated subquery: computed once, one value a task
         passes = F.element_at(table, word + 1).bitwiseAND(mask) == mask
         hits = hits.where(F.col("key").isNull() | (F.col("pos") == 0) | passes)
-    found = hits.join(listed.drop("path_length"), "key", "left")
+    exact = listed.drop("path_length")
+    found = hits.join(F.broadcast(exact) if n <= MAX_BROADCAST else cut(exact), "key", "left")
     best = F.max(F.when(F.col("listed_verdict").isNotNull(), F.struct(F.length("key").alias("n"), F.col("key"), F.col("listed_verdict"))))
     out = found.groupBy("row", "page_id", "host", "path").agg(best.alias("best"))
     return out.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.listed_verdict", F.lit(default)).alias("verdict"))

@@ -126,6 +126,8 @@ def test_bloom_never_loses_a_key(spark, monkeypatch):
     assert got == set(range(300))
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 1)  # many false positives, which the join removes
     assert {r["page_id"] for r in url_filter.judge(pages, rules).where("verdict = 'block'").collect()} == got
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST", 10)
+    assert {r["page_id"] for r in url_filter.judge(pages, rules).where("verdict = 'block'").collect()} == got
     monkeypatch.setattr(url_filter, "MAX_IN_FILTER", 10)
     assert {r["page_id"] for r in url_filter.judge(pages, rules).where("verdict = 'block'").collect()} == got
 
