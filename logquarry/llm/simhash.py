@@ -2,10 +2,11 @@
 
 fingerprints(): XXH64 of every word shingle, majority per bit (Python over Arrow batches).
 links(): distinct fingerprints meet where two of six bit bands agree (at most four differing bits leave
-two bands untouched); inside such a bucket the bit planes are stored vertically, the distances of 64
-fingerprints at a time are kept in carry-save counters, and blocks in which every lane has passed the
-radius are abandoned. Buckets above BLOCK rows are dealt over pairs of blocks, so no task holds a whole
-large bucket; each task returns a spanning forest of the links it found, never all pairs.
+two bands untouched; three of seven or four of eight bands for corpora whose buckets would grow too full);
+inside such a bucket the bit planes are stored vertically, the distances of 64 fingerprints at a time are kept in
+carry-save counters, and blocks in which every lane has passed the radius are abandoned. Buckets above
+2 * BLOCK rows are dealt over pairs of blocks, so no task holds a whole large bucket; each task returns a spanning
+forest of the links it found, never all pairs.
 
 Nulls: a null text has no words (fingerprint zero); a null doc_id is kept, and ignored as a smallest id
 unless the group has no other. Repeated rows and equal texts share a fingerprint and so a component.
@@ -26,6 +27,8 @@ from .common import components, cut, min_labels, text_bytes, written
 
 #: Rows of one bucket that one task compares with one another (twice that for a pair of blocks).
 BLOCK = 4096
+#: Fingerprints a bucket should hold on average at most; decides how many bands must agree.
+FILL = 64
 #: Lanes compared at once; bounds the memory of the kernel.
 LANES = 1 << 20
 
@@ -161,22 +164,29 @@ def _bands(bits: int = 64, bands: int = 6) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (src, dst) between distinct fingerprints; their components are those of all pairs within the radius.
+def bands_to_agree(count: int, radius: int) -> int:
+    """The fewest bands (2 to 4) whose common bits spread so many fingerprints thinly enough."""
+    return next((a for a in (2, 3) if count >> (64 * a // (radius + a)) < FILL), 4)
 
-    fps: one column fp, distinct. radius + 2 bands, of which any two must agree for some pair of bands.
-    """
-    bands = _bands(bands=radius + 2)
-    fp = F.col("fp")
 
-    def band(k):
-        start, width = bands[k]
-        return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
+def links(fps: DataFrame, radius: int = 4, agree: int | None = None) -> DataFrame:
+    """Edges (src, dst) between distinct fingerprints; their components are those of all pairs within the radius.
 
-    keys = [
-        F.lit(n << 48).bitwiseOR(F.shiftleft(band(i), 24)).bitwiseOR(band(j))
-        for n, (i, j) in enumerate(combinations(range(len(bands)), 2))
-    ]
+    fps: one column fp, distinct. There are radius + agree bands, so that any pair within the radius agrees
+    in some `agree` of them: every choice is exact, they differ in the number of keys and the size of the buckets.
+    """
+    agree = agree or bands_to_agree(fps.count(), radius)
+    bands = _bands(bands=radius + agree)
+
+    def key(number: int, chosen: tuple[int, ...]):
+        out, shift = F.lit(number << 48), 0
+        for k in chosen:
+            start, width = bands[k]
+            bits = F.shiftrightunsigned(F.col("fp"), start).bitwiseAND(F.lit((1 << width) - 1))
+            out, shift = out.bitwiseOR(F.shiftleft(bits, shift)), shift + width
+        return out
+
+    keys = [key(n, chosen) for n, chosen in enumerate(combinations(range(len(bands)), agree))]
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK))
     by = ["key"]

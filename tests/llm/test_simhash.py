@@ -70,8 +70,12 @@ def test_forest_equals_all_pairs(sizes):
     assert label.tolist() == [want[i] for i in range(len(values))]
 
 
-@pytest.mark.parametrize("block", [4096, 8])
-def test_links_find_every_class(spark, monkeypatch, block):
+def test_bands_follow_the_count():
+    assert [simhash.bands_to_agree(n, 4) for n in (0, 10**6, 10**8, 10**9, 10**11)] == [2, 2, 2, 3, 4]
+
+
+@pytest.mark.parametrize(("block", "agree"), [(4096, 2), (8, 2), (4096, 3), (8, 4)])
+def test_links_find_every_class(spark, monkeypatch, block, agree):
     """Also with every bucket above a few rows dealt over pairs of blocks."""
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(3)
@@ -85,7 +89,7 @@ def test_links_find_every_class(spark, monkeypatch, block):
     values |= {int(x) for x in rng.integers(0, 1 << 62, 100)}
     fps = sorted(np.array(sorted(values), np.uint64).view(np.int64).tolist())
     want = brute_components(fps, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
-    roots = common.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()
+    roots = common.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), agree=agree)).collect()
     got = dict.fromkeys(fps) | {r["node"]: r["root"] for r in roots}
     assert {f: got[f] if got[f] is not None else f for f in fps} == want
 
