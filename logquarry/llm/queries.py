@@ -25,6 +25,23 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(documents(spark, sf_dir), k=20)
 
 
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i + 1 : i + 20], ' ') AS key FROM (SELECT doc_id, words, unnest(range(len(words) - 19)) AS i FROM docs)
+), repeats AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM repeats, range(20) t(j)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM docs) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(documents(spark, sf_dir), shards=16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -83,4 +100,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op3_substring": OP3_SQL, "op9_url_filter": OP9_SQL}

@@ -204,3 +204,12 @@ def test_items_in_blocks_give_the_same(spark, docs, prose, monkeypatch):
     whole = sorted(map(str, decontam.find_leaks(frame, bench).collect()))
     monkeypatch.setattr(decontam.item_blocks, "__defaults__", (200,))
     assert sorted(map(str, decontam.find_leaks(frame, bench).collect())) == whole and len(whole) == 6
+
+
+def test_substring_query_matches_sql(spark, duck):
+    from logquarry.llm import queries
+    from tests.conftest import SMALL
+
+    want = duck.sql(queries.OP3_SQL)
+    got = queries.op3_substring(spark, SMALL).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
