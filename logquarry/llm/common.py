@@ -32,8 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write as Parquet in the shared folder and read again: compressed, with sizes the planner can see."""
-    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    """Write as Parquet in the shared folder and read again: compressed, with sizes the planner can see.
+
+    A lazy result may read the folder until the application ends; then the file system removes it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
