@@ -6,8 +6,9 @@ so that equal k-mers always meet under equal minimizers and a nonbranching stret
 row. Under its minimizer a super-k-mer that occurs once holds no repeat; where only one form of it occurs the
 path does not branch and it is compacted whole (every occurrence but the first is a repeat); where several
 forms occur the path branches, and only there the single k-mers are opened and joined by their own hash.
-Repeats are verified by a second, independent hash of the same words at the source's and the repeat's
-coordinates (128 bits in all), merged into maximal spans for each document, and removed.
+Repeats are verified at the source's and the repeat's coordinates by hashes, not by the words themselves: a whole
+super-k-mer by a 64-bit hash of all its words under the same minimizer (itself a 64-bit hash), a single k-mer by
+two independent 64-bit hashes of its words. They are merged into maximal spans for each document, and removed.
 
 Before every exchange a batch resolves its own repeats (all but its first occurrence are settled), so a passage
 that a third of all rows share arrives as one row a batch, not one a document.
