@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import decontam, linededup, packing, quality, simhash
+from logquarry.llm import decontam, linededup, neardup, packing, quality
 from logquarry.llm.common import documents, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the smallest id stays."""
-    return simhash.keep_first(docs, shingle=4, radius=4).select(*COLUMNS)
+    """Of each group of texts linked by five-word shingles of similarity 0.8 the document of the smallest id stays."""
+    return neardup.keep_first(docs).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
