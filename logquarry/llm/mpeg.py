@@ -1,6 +1,6 @@
 """MPEG audio columns: write, parse, verify and index streams.
 
-parse() works on any bytes: it skips ID3v2 tags and an ID3v1 trailer, resynchronises on frame headers (a
+parse() works on any bytes: it skips ID3v2 tags and an ID3v1 trailer (128 bytes that no frame covers), resynchronises on frame headers (a
 header counts if the next frame, or the end, follows it), reads Xing/Info and VBRI tables, checks the CRC-16
 of protected Layer III frames, and gives the exact duration in samples with the byte offset of each frame.
 carry() stores a payload losslessly as the ancillary bytes of valid, silent, protected MPEG-1 Layer III
@@ -162,21 +162,26 @@ def _vbr(data: bytes, at: int, h: Header) -> dict | None:
 
 def parse(data: bytes) -> Parsed:
     out, at, end, first, synced = Parsed(), 0, len(data), True, False
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.tags.append("ID3v1")
+    tail = end - 128 if end >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     while at < end:
+        if at == tail:
+            out.tags.insert(0, "ID3v1")
+            break
         if data[at : at + 3] == b"ID3" and at + 10 <= end and not synced:
             out.tags.append(f"ID3v2.{data[at + 3]}")
             at += _id3_size(data, at)
             continue
         h = header(int.from_bytes(data[at : at + 4])) if at + 4 <= end else None
         fits = h is not None and at + h.length <= end
-        if fits and not synced and at + h.length + 4 <= end:  # a chance match has no second header behind it
+        over = fits and at < tail < at + h.length  # 'TAG' inside a frame is no trailer, unless the frame is a cut one
+        if fits and (over or not synced) and at + h.length != tail and at + h.length + 4 <= end:  # a chance match has no second header behind it
             fits = header(int.from_bytes(data[at + h.length : at + h.length + 4])) is not None
+        if over and end - 4 < at + h.length < end:
+            fits = False
         if not fits:
-            nxt = data.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
+            stop = tail if at < tail else end
+            nxt = data.find(b"\xff", at + 1, stop)
+            nxt = stop if nxt < 0 else nxt
             tag = data.find(b"ID3", at + 1, nxt)
             nxt = tag if tag >= 0 else nxt
             out.skipped += nxt - at
@@ -281,9 +286,12 @@ def digest(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("seek_offsets", pa.list_(pa.int64()))])
 
     def row(doc, raw: bytes) -> tuple:
-        media = carry(padded(raw))
+        payload = padded(raw)
+        media = carry(payload)
         parsed = parse(media)
         back = carried(media, parsed)
+        if back != payload:
+            raise ValueError(f"document {doc}: read back {len(back)} bytes that are not its payload of {len(payload)}")
         return doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(parsed), [at for at, _ in parsed.frames]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -182,6 +182,25 @@ def test_resync_tags_and_bad_crc():
     assert str(mixed.duration) == str(2 * mpeg.Fraction(1152, 44100) + mpeg.Fraction(1152, 48000))
 
 
+def test_trailer_is_not_taken_from_a_frame(docs):
+    for units in (1, 3):
+        text = "x" * (576 * units - 70) + "TAG" + "y" * 67  # 128 bytes before the stream's end
+        media = mpeg.carry(mpeg.padded(text.encode()))
+        assert media[-128:-125] == b"TAG"
+        p = mpeg.parse(media)
+        assert mpeg.carried(media, p) == text.encode() and len(p.frames) == units and p.skipped == 0 and p.tags == ["ID3v2.3"]
+        tagged = mpeg.parse(media + b"TAG".ljust(128, b"\0"))
+        assert mpeg.carried(media, tagged) == text.encode() and tagged.tags == ["ID3v1", "ID3v2.3"]
+        row = mpeg.digest(docs([(1, text)])).first()
+        assert (row["payload_bytes"], row["payload_sha256"]) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+    ok, trailer = frame(0xFFFB9064), b"TAG".ljust(128, b"\0")
+    for lost in (1, 50, 127, 300):  # a cut last frame does not hide the trailer
+        cut_short = mpeg.parse(ok * 3 + ok[:-lost] + trailer)
+        assert len(cut_short.frames) == 3 and cut_short.tags == ["ID3v1"] and cut_short.skipped == len(ok) - lost
+    junk = mpeg.parse(ok * 2 + b"zz" + trailer)
+    assert len(junk.frames) == 2 and junk.tags == ["ID3v1"] and junk.skipped == 2
+
+
 def test_vbr_tables():
     xing = b"Xing" + struct.pack(">III", 7, 10, 4000) + bytes(range(100))
     p = mpeg.parse(frame(0xFFFB9064, bytes(32) + xing) + frame(0xFFFB9064) * 2)
