@@ -26,8 +26,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go from the texts; n_chars follows the text."""
-    return linededup.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Repeated passages of two and more lines go from the texts; n_chars follows the text."""
+    return linededup.dedup(docs, linededup.PASSAGES).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

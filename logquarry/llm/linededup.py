@@ -1,6 +1,10 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by pairs of lines, or by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines decides where a chunk ends, so boundaries depend on
+The query and the pipeline's stage remove whole passages (PASSAGES): every two consecutive lines that occurred before
+(smaller doc_id, then place) go, so a repeated passage of two and more lines goes to its last line wherever
+it begins and ends, and each of its lines stays where the passage was first. A repeated single line stays.
+
+By chunks (CHUNKS), less goes: a rolling hash over the hashes of the last lines decides where a chunk ends, so boundaries depend on
 the lines near them only and survive insertions before them. Chunks of two and more lines that occur more than
 once in the corpus are removed everywhere but at their first occurrence (smallest doc_id, then place), after the
 bytes of both have been compared. Lines are split at the newline character and compared unchanged.
@@ -59,16 +63,31 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """(doc, drop): for each document with repeats, the places of the chunks to remove."""
+def windows(text: bytes) -> list[tuple[int, int, bytes]]:
+    """(first line, 2, bytes) of every two consecutive lines of a text."""
+    lines = text.split(b"\n")
+    return [(i, 2, a + b"\n" + b) for i, (a, b) in enumerate(zip(lines, lines[1:], strict=False))]
+
+
+#: What is held against the corpus: the chunks of a text, or every passage by its pairs of lines.
+CHUNKS, PASSAGES = "chunks", "passages"
+
+
+def _pieces(by: str):
+    return windows if by == PASSAGES else chunks
+
+
+def repeated(docs: DataFrame, by: str = CHUNKS) -> DataFrame:
+    """(doc, drop): for each document with repeats, the places of the chunks (or pairs of lines) to remove."""
     from xxhash import xxh3_64_intdigest
 
     ship_package(docs.sparkSession)
+    pieces = _pieces(by)
     keyed = docs.where("text is not null").select(doc_key().alias("doc"), text_bytes().alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, i, body) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, (_, n, body) in enumerate(chunks(t)) if n >= LEAST]
+            rows = [(d, i, body) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, (_, n, body) in enumerate(pieces(t)) if n >= LEAST]
             lowest: dict[bytes, tuple[int, int]] = {}
             for d, i, body in rows:
                 if body not in lowest or (d, i) < lowest[body]:
@@ -89,7 +108,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for d, t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = chunks(t)
+                own = pieces(t)
                 rows += [(x["hash"], d, x["place"], x["is_first"], own[x["place"]][2]) for x in m if x["place"] < len(own)]
             types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], ["hash", "doc", "place", "is_first", "body"])
@@ -101,12 +120,18 @@ def repeated(docs: DataFrame) -> DataFrame:
     return gone.distinct().groupBy("doc").agg(F.collect_list("place").alias("drop"))
 
 
-def _without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
+def _left(texts: pd.Series, drops: pd.Series, by: str) -> pd.DataFrame:
     out = []
     for t, drop in zip(texts, drops, strict=True):
         if drop is None or not len(drop):
             out.append((None, t.count(b"\n") + 1, 0))
             continue
+        if by == PASSAGES:
+            lines, places = t.split(b"\n"), set(map(int, drop))
+            gone = places | {i + 1 for i in places}
+            kept = b"\n".join(x for i, x in enumerate(lines) if i not in gone)
+            out.append((kept.decode("utf-8", "replace"), len(lines), sum(i < len(lines) for i in gone)))
+            continue
         gone, all_chunks = set(map(int, drop)), chunks(t)
         kept = b"\n".join(body for i, (_, _, body) in enumerate(all_chunks) if i not in gone)
         n = sum(c for _, c, _ in all_chunks)
@@ -114,12 +139,16 @@ def _without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, by: str = CHUNKS) -> DataFrame:
     """docs with the text that is left, n_lines and n_removed (in place of columns so named); all others as they were."""
     docs = docs.drop("n_lines", "n_removed")
-    drop = repeated(docs).select(F.col("doc").alias("__doc"), F.col("drop").alias("__drop"))
+    drop = repeated(docs, by).select(F.col("doc").alias("__doc"), F.col("drop").alias("__drop"))
     joined = docs.withColumn("__doc", doc_key()).join(drop, "__doc", "left")
-    cleaned = joined.withColumn("__w", F.pandas_udf(_without, "text string, n_lines long, n_removed long").asNondeterministic()(text_bytes(), F.col("__drop")))
+
+    def without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
+        return _left(texts, drops, by)
+
+    cleaned = joined.withColumn("__w", F.pandas_udf(without, "text string, n_lines long, n_removed long").asNondeterministic()(text_bytes(), F.col("__drop")))
     none = F.col("text").isNull()
     return cleaned.select(
         *[F.when(none, None).otherwise(F.coalesce("__w.text", "text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
@@ -130,5 +159,5 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256)."""
-    out = dedup(docs.select("doc_id", "text"))
+    out = dedup(docs.select("doc_id", "text"), PASSAGES)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(text_bytes(), 256).alias("kept_sha256"))

@@ -135,6 +135,34 @@ def test_line_dedup_odd_rows(docs, odd, clash):
     assert linededup.digest(docs([(1, "a\nb")])).columns == ["doc_id", "n_lines", "n_removed", "kept_sha256"]
 
 
+def brute_passages(pairs):
+    """doc_id -> text left: lines of any two consecutive lines seen before go, whatever chunks there are."""
+    seen, out = set(), {}
+    for d, t in sorted(pairs, key=lambda x: (x[0] is not None, x[0] or 0)):
+        lines, gone = (t or "").split("\n"), set()
+        for i in range(len(lines) - 1):
+            if (lines[i], lines[i + 1]) in seen:
+                gone |= {i, i + 1}
+            seen.add((lines[i], lines[i + 1]))
+        out[d] = None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_repeated_passages_go_whole(docs, seed):
+    rng = np.random.default_rng(seed)
+    blocks = [some_lines(100 + i, i + 2) for i in range(6)]  # 2 to 7 lines
+    pairs = [(d, "\n".join(some_lines(1000 * seed + 10 * d, 3) + blocks[d % 6] + some_lines(1000 * seed + 10 * d + 1, 1 + d % 4) + [blocks[(d + 1) % 6][0]] + some_lines(1000 * seed + 10 * d + 2, 2))) for d in range(1, 25)]
+    pairs += [(30, "\n".join(["same"] * 60)), (31, None), (32, ""), (33, "single"), (None, pairs[0][1])]
+    pairs += [(40 + d, "\n".join(f"v{x}" for x in rng.integers(0, 6, 30))) for d in range(8)]
+    out = linededup.dedup(docs(pairs), linededup.PASSAGES).collect()
+    want = brute_passages(pairs)
+    assert {r["doc_id"]: r["text"] for r in out} == want
+    digests = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in linededup.digest(docs(pairs)).collect()}
+    assert {d: x[2] for d, x in digests.items()} == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in want.items()}
+    assert all(digests[d][1] >= d % 6 + 2 for d in range(7, 25))
+
+
 # Benchmark items
 
 
