@@ -4,20 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
+
 #: Stands for a null doc_id inside an operator; sorts before every other id.
 NULL_ID = -(2**63)
+#: Distinct edges of a graph that one task settles at most (16 bytes each); larger graphs are never brought together.
+IN_ONE_TASK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes share; a temporary one only where the session names none (tests)."""
+    """The folder all nodes share; a temporary one only on a single machine whose session names none (tests)."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="logquarry-checkpoints-")
         sc.setCheckpointDir(path)
     elif sc.getCheckpointDir() is None:
@@ -89,13 +97,39 @@ def with_row_numbers(df: DataFrame, order_cols: list[str], name: str = "row_numb
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (src, dst) longs: (node, root), root the smallest node reachable.
 
+    Up to IN_ONE_TASK distinct edges (a bound on one task's memory, checked by a count) are settled in one task;
+    more by `star_components`. Both give the same rows. Nodes without an edge to another node are not returned.
+    """
+    pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    pairs = written(pairs.distinct())
+    return one_task_components(pairs) if pairs.count() <= IN_ONE_TASK else star_components(pairs)
+
+
+def one_task_components(pairs: DataFrame) -> DataFrame:
+    """components() of few distinct pairs (u, v), in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        ends = [np.concatenate([b.column(j).to_numpy() for b in parts]) for j in range(2)]
+        nodes, index = np.unique(np.concatenate(ends), return_inverse=True)
+        index = index.reshape(2, -1)
+        label = min_labels(len(nodes), index[0], index[1])
+        for i in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(nodes[label[i : i + (1 << 16)]])], ["node", "root"])
+
+    ship_package(pairs.sparkSession)
+    return pairs.coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def star_components(pairs: DataFrame) -> DataFrame:
+    """components() of any number of distinct pairs (u, v), u > v.
+
     Alternating large-star and small-star steps: every step is a minimum per node (combined on the map
     side) and an equi-join back. The minima are checkpointed before the join, so that both of its sides
     arrive by a plain exchange and the adaptive skew join can split a node with very many neighbours.
-    Nodes without an edge to another node are not returned.
     """
-    pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    pairs = cut(pairs.distinct())
     state = _state(pairs)
     while state[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

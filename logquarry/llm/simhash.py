@@ -4,9 +4,10 @@ fingerprints(): XXH64 of every word shingle, majority per bit (Python over Arrow
 links(): distinct fingerprints meet where two of six bit bands agree (at most four differing bits leave
 two bands untouched; three of seven or four of eight bands for corpora whose buckets would grow too full);
 inside such a bucket the bit planes are stored vertically, the distances of 64 fingerprints at a time are kept in
-carry-save counters, and blocks in which every lane has passed the radius are abandoned. Buckets above
-2 * BLOCK rows are dealt over pairs of blocks, so no task holds a whole large bucket; each task returns a spanning
-forest of the links it found, never all pairs.
+carry-save counters, and blocks in which every lane has passed the radius are abandoned. Of buckets above
+2 * BLOCK rows, what is near the bucket's hub is linked with it first, and the rest dealt over pairs of blocks, so
+no task holds a whole large bucket; each task returns a spanning
+forest of the links it found, never all pairs, and lists at most PAIRS of them at once.
 
 Nulls: a null text has no words (fingerprint zero); a null doc_id is kept, and ignored as a smallest id
 unless the group has no other. Repeated rows and equal texts share a fingerprint and so a component.
@@ -23,14 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package
-from .common import components, cut, min_labels, text_bytes, written
+from .common import components, min_labels, text_bytes, written
 
 #: Rows of one bucket that one task compares with one another (twice that for a pair of blocks).
 BLOCK = 4096
 #: Fingerprints a bucket should hold on average at most; decides how many bands must agree.
 FILL = 64
-#: Lanes compared at once; bounds the memory of the kernel.
-LANES = 1 << 20
+#: Lanes compared at once, and words of 64 lanes by queries; both bound the memory of the kernel.
+LANES, WORDS = 1 << 18, 1 << 16
+#: Pairs listed at once, however many are near.
+PAIRS = 1 << 18
+#: Pivots without a large group around them, after which a bucket is compared row by row.
+PIVOTS = 4
 
 
 def fingerprint(text: bytes, shingle: int = 4, bits: int = 64) -> int:
@@ -67,24 +72,31 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
-    """Bit planes, (64, words): bit b of 64 consecutive values is one 64-bit word of plane b."""
-    lanes = -len(values) % 64
-    padded = np.concatenate([values, np.zeros(lanes, np.uint64)]).astype("<u8")
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes, (bits, words): bit b of 64 consecutive values is one 64-bit word of plane b. values: (rows,) or (rows, words)."""
+    values = values.reshape(len(values), -1)
+    padded = np.concatenate([values, np.zeros((-len(values) % 64, values.shape[1]), np.uint64)]).astype("<u8")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
+def flips_of(values: np.ndarray) -> np.ndarray:
+    """(bits, rows): each bit of each value, spread over a word of 64 lanes."""
+    bits = np.unpackbits(values.reshape(len(values), -1).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    return np.where(np.ascontiguousarray(bits.T), ~np.uint64(0), np.uint64(0))
+
+
 def near_lanes(planes: np.ndarray, radius: int, words: np.ndarray | None = None, flips: np.ndarray | None = None, query: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(position, 64 lanes as bits) for each compared word that still has a lane within the radius.
 
     Without words, the planes are those of differences. Else position i compares the plane words words[i]
     with query query[i], whose bit b is spread over flips[b]. Carry-save adders take four planes at a time
-    into the counters ones, twos, fours and eights; a fifth plane gathers overflow (16 and more).
+    into as many counters (ones, twos, fours, ...) as the radius has bits; one more plane gathers overflow.
     """
-    assert 0 <= radius < 16
+    assert 0 <= radius < len(planes)
     n = planes.shape[1] if words is None else len(words)
     at = np.arange(n)
-    ones, twos, fours, eights, over = (np.zeros(n, np.uint64) for _ in range(5))
+    counters = [np.zeros(n, np.uint64) for _ in range(max(2, radius.bit_length()))]
+    over = np.zeros(n, np.uint64)
     full = ~np.uint64(0)
 
     def plane(b: int) -> np.ndarray:
@@ -97,35 +109,108 @@ def near_lanes(planes: np.ndarray, radius: int, words: np.ndarray | None = None,
     def passed() -> np.ndarray:
         """Lanes whose counter is over the radius."""
         above, equal = over.copy(), ~over
-        for counter, bit in ((eights, 8), (fours, 4), (twos, 2), (ones, 1)):
-            if radius & bit:
-                equal &= counter
+        for k in range(len(counters) - 1, -1, -1):
+            if radius >> k & 1:
+                equal &= counters[k]
             else:
-                above |= equal & counter
-                equal &= ~counter
+                above |= equal & counters[k]
+                equal &= ~counters[k]
         return above
 
-    for b in range(0, 64, 4):
-        ones, t1 = add(ones, plane(b), plane(b + 1))
-        ones, t2 = add(ones, plane(b + 2), plane(b + 3))
-        twos, f = add(twos, t1, t2)
-        fours, e = fours ^ f, fours & f
-        eights, s = eights ^ e, eights & e
-        over |= s
-        if b % 8 == 4:
+    for b in range(0, len(planes), 4):
+        counters[0], t1 = add(counters[0], plane(b), plane(b + 1))
+        counters[0], t2 = add(counters[0], plane(b + 2), plane(b + 3))
+        counters[1], carry = add(counters[1], t1, t2)
+        for k in range(2, len(counters)):
+            counters[k], carry = counters[k] ^ carry, counters[k] & carry
+        over |= carry
+        if b % 8 == 4 and b > radius:
             keep = passed() != full
             if not keep.all():
                 at = at[keep]
-                ones, twos, fours, eights, over = (x[keep] for x in (ones, twos, fours, eights, over))
+                counters, over = [x[keep] for x in counters], over[keep]
     return at, ~passed()
 
 
+def _lanes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, lane) of every bit set."""
+    return np.nonzero(np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+
+
 def _pairs(at: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bits = np.unpackbits(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    row, lane = np.nonzero(bits)
+    row, lane = _lanes(lanes)
     return at[row], lane
 
 
+def _pair_parts(at: np.ndarray, lanes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(position, lane) of every bit set, at most about PAIRS at once."""
+    ends = np.cumsum(np.bitwise_count(lanes).astype(np.int64))
+    start = 0
+    while start < len(at):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PAIRS, side="right")))
+        yield _pairs(at[start:stop], lanes[start:stop])
+        start = stop
+
+
+def near_queries(planes: np.ndarray, asked: np.ndarray, radius: int, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, word, 64 lanes as bits) of the given words against each of the asked values."""
+    step = max(1, WORDS // max(len(words), 1))
+    for q in range(0, len(asked), step):
+        flips = flips_of(asked[q : q + step])
+        word, query = np.tile(words, flips.shape[1]), np.repeat(np.arange(flips.shape[1]), len(words))
+        at, lanes = near_lanes(planes, radius, word, flips, query)
+        yield q + query[at], word[at], lanes
+
+
+def reach(values: np.ndarray, radius: int, start: int = 0) -> np.ndarray:
+    """Rows reachable from one row over links, itself included.
+
+    Lanes that a query reaches are or-ed into one mask, so no pair is listed, and a lane that is reached is not compared again.
+    """
+    planes = planes_of(values)
+    left = np.full(planes.shape[1], ~np.uint64(0))
+    if len(values) % 64:
+        left[-1] = (np.uint64(1) << np.uint64(len(values) % 64)) - np.uint64(1)
+    left[start // 64] &= ~(np.uint64(1) << np.uint64(start % 64))
+    found, frontier = [np.array([start])], np.array([start])
+    while len(frontier) and left.any():
+        live = np.flatnonzero(left)
+        step = max(1, WORDS // len(live))
+        asked, frontier = frontier[:step], frontier[step:]
+        hit = np.zeros_like(left)
+        for _, word, lanes in near_queries(planes, values[asked], radius, live):
+            np.bitwise_or.at(hit, word, lanes)
+        hit &= left
+        left &= ~hit
+        word, lane = _lanes(hit)
+        found.append(word * 64 + lane)
+        frontier = np.concatenate([frontier, found[-1]])
+    return np.sort(np.concatenate(found))
+
+
+def near_block(values: np.ndarray, radius: int) -> np.ndarray:
+    """The number of the first row that each row is linked with, directly or over others."""
+    label, todo, misses = np.arange(len(values)), np.arange(len(values)), 0
+    while len(todo) > 64 and misses < PIVOTS:  # whole groups around a pivot
+        found = reach(values[todo], radius)
+        label[todo[found]] = todo[found[0]]
+        misses += len(found) < 64
+        todo = np.delete(todo, found)
+    if len(todo) > 1:  # what is left: pairs, listed in bounded parts
+        rest = values[todo]
+        planes, own = planes_of(rest), np.arange(len(rest))
+        for low in range(0, planes.shape[1], 16):  # earlier words hold pairs that earlier queries have compared
+            asked = rest[low * 64 : (low + 16) * 64]
+            for query, word, lanes in near_queries(planes, asked, radius, np.arange(low, planes.shape[1])):
+                for k, lane in _pair_parts(np.arange(len(query)), lanes):
+                    i, j = low * 64 + query[k], word[k] * 64 + lane
+                    ok = (j < len(rest)) & (i < j)
+                    own = min_labels(len(rest), i[ok], j[ok], own)
+        label[todo] = todo[own]
+    return label
+
+
 def near_forest(group: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
     """For rows sorted by group: the number of the first row that each row is linked with inside its group."""
     n = len(values)
@@ -137,25 +222,12 @@ def near_forest(group: np.ndarray, values: np.ndarray, radius: int) -> np.ndarra
         left = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]))
         for i in range(0, len(left), LANES):
             part = left[i : i + LANES]
-            at, lane = _pairs(*near_lanes(planes_of(values[part] ^ values[part + d]), radius))
-            found = at * 64 + lane
-            found = part[found[found < len(part)]]
-            label = min_labels(n, found, found + d, label)
+            for at, lane in _pair_parts(*near_lanes(planes_of(values[part] ^ values[part + d]), radius)):
+                found = at * 64 + lane
+                found = part[found[found < len(part)]]
+                label = min_labels(n, found, found + d, label)
     for a, m in zip(first[size >= 64], size[size >= 64], strict=True):
-        block = values[a : a + m]
-        planes = planes_of(block)
-        w = planes.shape[1]
-        step = max(1, LANES // 16 // w)
-        for q in range(0, m, step):
-            asked = block[q : q + step]
-            flips = np.where((asked[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), ~np.uint64(0), np.uint64(0))
-            low = q // 64  # words before this hold pairs that earlier queries have compared
-            words = np.tile(np.arange(low, w), len(asked))
-            query = np.repeat(np.arange(len(asked)), w - low)
-            at, lane = _pairs(*near_lanes(planes, radius, words, flips, query))
-            i, j = a + q + query[at], a + words[at] * 64 + lane
-            ok = (j < a + m) & (i != j)
-            label = min_labels(n, i[ok], j[ok], label)
+        label[a : a + m] = a + near_block(values[a : a + m], radius)
     return label
 
 
@@ -188,18 +260,10 @@ def links(fps: DataFrame, radius: int = 4, agree: int | None = None) -> DataFram
 
     keys = [key(n, chosen) for n, chosen in enumerate(combinations(range(len(bands)), agree))]
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK))
-    by = ["key"]
-    if not large.isEmpty():  # the rows of a large bucket go to every pair of blocks that their own is in
-        blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1))
-        rows = (
-            rows.join(large, "key", "left")
-            .withColumn("blocks", blocks.cast("int"))
-            .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .where("blocks = 1 OR own <> other")
-            .select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-        )
+    large = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK))
+    hubs = None
+    if not large.isEmpty():
+        rows, hubs = _dealt(rows, large, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_v = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -227,23 +291,56 @@ def links(fps: DataFrame, radius: int = 4, agree: int | None = None) -> DataFram
 
     ship_package(fps.sparkSession)
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", "fp").repartition(n, *by).sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(run, "src long, dst long")
+    dealt = rows.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp")
+    found = dealt.mapInArrow(run, "src long, dst long")
+    return found if hubs is None else found.unionByName(hubs)
+
+
+def _dealt(rows: DataFrame, large: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(rows (key, fp) with each large bucket in bounded pieces, links (src, dst) to the buckets' hubs).
+
+    A large bucket's hub is its member next to the majority of its bits. Members near the hub are linked with it and
+    need no comparison with each other; all others are dealt over blocks, and each pair of blocks is one piece
+    unless both hold members near the hub: a group of near copies of one text goes out in proportion to its size.
+    """
+    busy = rows.join(large, "key")
+    bits = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
+    middle = F.lit(0).cast("long")
+    for b in range(64):
+        middle = middle.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    middles = written(busy.groupBy("key", "n").agg(*bits).select("key", middle.alias("middle")))
+
+    def apart(a: str, b: str):
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+    nearest = F.min(F.struct(apart("fp", "middle").alias("d"), F.col("fp").alias("hub")))
+    hubs = written(busy.select("key", "fp").join(middles, "key").groupBy("key").agg(nearest.alias("h")).select("key", "h.hub"))
+    sided = busy.select("key", "fp").join(hubs, "key").withColumn("near", apart("fp", "hub") <= radius)
+    counts = sided.groupBy("key").agg(F.sum(F.col("near").cast("long")).alias("n_near"), F.count("*").alias("n_all"))
+    blocks = written(counts.select("key", F.ceil(F.col("n_near") / BLOCK).cast("int").alias("near_blocks"), F.ceil((F.col("n_all") - F.col("n_near")) / BLOCK).cast("int").alias("far_blocks")))
+    far, near = F.col("far_blocks"), F.col("near_blocks")
+    placed = sided.join(blocks, "key").withColumn("own", F.when(F.col("near"), far + F.pmod(F.xxhash64("fp"), near).cast("int")).otherwise(F.pmod(F.xxhash64("fp"), F.greatest(far, F.lit(1))).cast("int")))
+    others = F.sequence(F.lit(0), F.when(F.col("near"), far).otherwise(far + near) - 1)
+    others = F.when(F.when(F.col("near"), far).otherwise(far + near) > 0, others).otherwise(F.array().cast("array<int>"))
+    pieces = placed.withColumn("other", F.explode(others)).where((F.col("own") != F.col("other")) | ((far == 1) & (near == 0)))
+    pieces = pieces.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+    links_to_hub = sided.where("near AND fp <> hub").select(F.col("fp").alias("src"), F.col("hub").alias("dst")).distinct()
+    return rows.join(large.select("key"), "key", "left_anti").select("key", "fp").unionByName(pieces), links_to_hub
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp long, component_id): component_id the smallest doc_id reachable over links."""
     marked = written(fingerprints(docs, shingle))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(classes.select("fp"), radius))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = cut(rooted.join(lowest, "root").select("fp", "component_id"))
+    lowest = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    named = written(rooted.join(lowest, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The documents whose id is the smallest of their group, with all their columns (rows without an id stay)."""
+    """One document of each group, with all its columns: that of the smallest id (rows without an id stay)."""
     groups = near_duplicates(docs, shingle, radius)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

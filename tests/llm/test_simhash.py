@@ -70,6 +70,42 @@ def test_forest_equals_all_pairs(sizes):
     assert label.tolist() == [want[i] for i in range(len(values))]
 
 
+@pytest.mark.parametrize(("n", "pairs"), [(2081, 1 << 18), (2081, 500), (8192, 1 << 18)])
+def test_dense_bucket_in_bounded_memory(monkeypatch, n, pairs):
+    """Mutually near values in one bucket: the centre, its neighbours at one and at two bits, and at more."""
+    import tracemalloc
+
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    ball = [0] + [1 << b for b in range(64)] + [1 << b | 1 << c for b in range(64) for c in range(b)]
+    ball += [1 << b | 1 << c | 1 << 63 | 1 << 62 for b in range(60) for c in range(b)] + [1 << b | 1 << c | 1 << d for b in range(60) for c in range(b) for d in range(c)]
+    far = (np.arange(20, dtype=np.uint64) << np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x5555555555555555)
+    values = np.random.default_rng(n).permutation(np.concatenate([np.array(ball[: n - 20], np.uint64), far]))
+    tracemalloc.start()
+    label = simhash.near_forest(np.zeros(n, np.int64), values, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = np.bitwise_count(values[:, None] ^ values[None, ::]) <= 4 if n < 4096 else None
+    assert peak < 64 << 20, peak
+    if near is not None:
+        left, right = np.nonzero(near)
+        assert label.tolist() == common.min_labels(n, left, right).tolist()
+    assert len(np.unique(label[np.isin(values, far, invert=True)])) == 1
+
+
+def test_bucket_of_unlinked_rows_and_wide_values():
+    """No pivot has a group, values have two words, and the radius is over 15."""
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 1 << 63, (300, 2), dtype=np.uint64)
+    values[200:] = values[:100]
+    for i in range(200, 300):
+        for b in rng.choice(128, int(rng.integers(10, 40)), replace=False):
+            values[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    apart = np.bitwise_count(values[:, None] ^ values[None]).sum(2)
+    left, right = np.nonzero(apart <= 24)
+    want = common.min_labels(300, left, right).tolist()
+    assert simhash.near_block(values, 24).tolist() == want and 200 < len(set(want)) < 300
+
+
 def test_bands_follow_the_count():
     assert [simhash.bands_to_agree(n, 4) for n in (0, 10**6, 10**8, 10**9, 10**11)] == [2, 2, 2, 3, 4]
 
@@ -94,6 +130,33 @@ def test_links_find_every_class(spark, monkeypatch, block, agree):
     assert {f: got[f] if got[f] is not None else f for f in fps} == want
 
 
+def test_large_bucket_around_a_hub_goes_out_in_proportion(spark, monkeypatch):
+    """Near copies of one text: what is near the hub is one row a key, linked; nothing is dealt over pairs of blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    ball = [0] + [1 << b for b in range(64)] + [1 << b | 1 << c for b in range(64) for c in range(b)]
+    fps = [f - (1 << 64 if f >> 63 else 0) for f in ball]
+    rows = spark.createDataFrame([(f, 0) for f in fps], "fp long, key long")
+    large = rows.groupBy("key").count().withColumnRenamed("count", "n")
+    pieces, hubs = simhash._dealt(rows, large, 4)
+    assert pieces.count() == 0 and hubs.count() == len(fps) - 1
+    far = spark.createDataFrame([(f ^ 0x3FF0000000000000, 0) for f in fps[:40]], "fp long, key long")
+    both = rows.unionByName(far)
+    pieces, hubs = simhash._dealt(both, both.groupBy("key").count().withColumnRenamed("count", "n"), 4)
+    assert pieces.count() <= 5 * len(fps) + 40 * (len(fps) // 16 + 5)
+    roots = common.components(simhash.links(both.select("fp").distinct(), 4, 2)).collect()
+    assert len({r["root"] for r in roots}) == 2 and len(roots) == both.distinct().count()
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_components_in_one_task_or_many(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "IN_ONE_TASK", most)
+    rng = np.random.default_rng(4)
+    edges = [tuple(map(int, e)) for e in rng.integers(-50, 50, (60, 2))]
+    want = brute_components(sorted({x for e in edges for x in e}), lambda a, b: (a, b) in edges or (b, a) in edges)
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {n: r for n, r in want.items() if list(want.values()).count(r) > 1}
+
+
 def test_near_duplicates_against_brute_force(docs, prose, odd):
     pairs = list(odd) + [(100 + i, prose(i, 60)) for i in range(12)]
     pairs += [(200 + i, prose(i, 60).replace("w1", "W1")) for i in range(6)] + [(300 + i, prose(99, 400) + f" tail{i}") for i in range(10)]
