@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -259,73 +260,100 @@ def links(fps: DataFrame, radius: int = 4, agree: int | None = None) -> DataFram
         return out
 
     keys = [key(n, chosen) for n, chosen in enumerate(combinations(range(len(bands)), agree))]
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return bucket_links(fps.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), "fp"), radius)
+
+
+def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges (src, dst) of a spanning forest of the pairs of one bucket within the radius.
+
+    rows: key, node, then the words of the node's fingerprint; a node at most once a key.
+    """
+    words = rows.columns[2:]
     large = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK))
     hubs = None
     if not large.isEmpty():
         rows, hubs = _dealt(rows, large, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_v = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [np.empty(0, np.int64) for _ in range(2 + len(words))]
 
-        def forest(key, value):
+        def forest(key, node, *value):
             first = np.concatenate(([True], key[1:] != key[:-1]))
             alone = first & np.concatenate((first[1:], [True]))
-            key, value = key[~alone], value[~alone]
+            key, node, value = key[~alone], node[~alone], np.stack(value, axis=1).view(np.uint64)[~alone]
             if not len(key):
                 return
-            label = near_forest(key, value.view(np.uint64), radius)
+            label = near_forest(key, value, radius)
             linked = label != np.arange(len(label))
             if linked.any():
-                yield pa.RecordBatch.from_arrays([pa.array(value[linked]), pa.array(value[label[linked]])], ["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["src", "dst"])
 
         for b in batches:
-            held_k = np.concatenate([held_k, b.column(0).to_numpy(zero_copy_only=False)])
-            held_v = np.concatenate([held_v, b.column(1).to_numpy(zero_copy_only=False)])
-            if len(held_k) >= 1 << 16:
-                end = int(np.searchsorted(held_k, held_k[-1]))  # the last group may go on
-                yield from forest(held_k[:end], held_v[:end])
-                held_k, held_v = held_k[end:], held_v[end:]
-        if len(held_k):
-            yield from forest(held_k, held_v)
-
-    ship_package(fps.sparkSession)
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp")
+            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, b.columns, strict=True)]
+            if len(held[0]) >= 1 << 16:
+                end = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+                yield from forest(*[h[:end] for h in held])
+                held = [h[end:] for h in held]
+        if len(held[0]):
+            yield from forest(*held)
+
+    ship_package(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "key").sortWithinPartitions("key", "node")
     found = dealt.mapInArrow(run, "src long, dst long")
     return found if hubs is None else found.unionByName(hubs)
 
 
+def piece_columns(own_near, far, near, spread) -> tuple:
+    """(own block, other blocks) of a row of a dealt group with far and near blocks; a row without other blocks needs no comparison.
+
+    Blocks 0 to far - 1 hold what is not near the group's hub. Near rows meet all far blocks, far rows all blocks, their own
+    only where it is the one block there is.
+    """
+    own = F.when(own_near, far + F.pmod(spread, F.greatest(near, F.lit(1))).cast("int")).otherwise(F.pmod(spread, F.greatest(far, F.lit(1))).cast("int"))
+    count = F.when(own_near, far).otherwise(far + near)
+    every = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    return own, F.filter(every, lambda other: (other != own) | ((far == 1) & (near == 0)))
+
+
+def middles(rows: DataFrame, by: str, words: list[str]) -> DataFrame:
+    """(by, middle_<word>...): the majority of each bit of a group's fingerprints."""
+    bits = [F.sum(F.shiftrightunsigned(w, b).bitwiseAND(F.lit(1))).alias(f"{w}_{b}") for w in words for b in range(64)]
+
+    def majority(word: str):
+        out = F.lit(0).cast("long")
+        for b in range(64):
+            out = out.bitwiseOR(F.when(F.col(f"{word}_{b}") * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+        return out
+
+    return written(rows.groupBy(by).agg(F.count("*").alias("n"), *bits).select(by, *[majority(w).alias(f"middle_{w}") for w in words]))
+
+
+def apart_from(words: list[str]):
+    """Makes the distance of a row's fingerprint from the one in <prefix>_<word>."""
+    return lambda prefix: sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{prefix}_{w}"))) for w in words), F.lit(0))
+
+
 def _dealt(rows: DataFrame, large: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(rows (key, fp) with each large bucket in bounded pieces, links (src, dst) to the buckets' hubs).
+    """(rows with each large bucket in bounded pieces, links (src, dst) to the buckets' hubs).
 
     A large bucket's hub is its member next to the majority of its bits. Members near the hub are linked with it and
     need no comparison with each other; all others are dealt over blocks, and each pair of blocks is one piece
     unless both hold members near the hub: a group of near copies of one text goes out in proportion to its size.
     """
-    busy = rows.join(large, "key")
-    bits = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(64)]
-    middle = F.lit(0).cast("long")
-    for b in range(64):
-        middle = middle.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    middles = written(busy.groupBy("key", "n").agg(*bits).select("key", middle.alias("middle")))
-
-    def apart(a: str, b: str):
-        return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-    nearest = F.min(F.struct(apart("fp", "middle").alias("d"), F.col("fp").alias("hub")))
-    hubs = written(busy.select("key", "fp").join(middles, "key").groupBy("key").agg(nearest.alias("h")).select("key", "h.hub"))
-    sided = busy.select("key", "fp").join(hubs, "key").withColumn("near", apart("fp", "hub") <= radius)
+    columns, words = rows.columns, rows.columns[2:]
+    busy = rows.join(large.select("key"), "key")
+    middle, apart = middles(busy, "key", words), apart_from(words)
+    nearest = F.min(F.struct(apart("middle").alias("d"), F.col("node").alias("hub"), *[F.col(w).alias(f"hub_{w}") for w in words]))
+    hubs = written(busy.join(middle, "key").groupBy("key").agg(nearest.alias("h")).select("key", "h.hub", *[f"h.hub_{w}" for w in words]))
+    sided = busy.join(hubs, "key").withColumn("near", apart("hub") <= radius)
     counts = sided.groupBy("key").agg(F.sum(F.col("near").cast("long")).alias("n_near"), F.count("*").alias("n_all"))
     blocks = written(counts.select("key", F.ceil(F.col("n_near") / BLOCK).cast("int").alias("near_blocks"), F.ceil((F.col("n_all") - F.col("n_near")) / BLOCK).cast("int").alias("far_blocks")))
-    far, near = F.col("far_blocks"), F.col("near_blocks")
-    placed = sided.join(blocks, "key").withColumn("own", F.when(F.col("near"), far + F.pmod(F.xxhash64("fp"), near).cast("int")).otherwise(F.pmod(F.xxhash64("fp"), F.greatest(far, F.lit(1))).cast("int")))
-    others = F.sequence(F.lit(0), F.when(F.col("near"), far).otherwise(far + near) - 1)
-    others = F.when(F.when(F.col("near"), far).otherwise(far + near) > 0, others).otherwise(F.array().cast("array<int>"))
-    pieces = placed.withColumn("other", F.explode(others)).where((F.col("own") != F.col("other")) | ((far == 1) & (near == 0)))
-    pieces = pieces.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-    links_to_hub = sided.where("near AND fp <> hub").select(F.col("fp").alias("src"), F.col("hub").alias("dst")).distinct()
-    return rows.join(large.select("key"), "key", "left_anti").select("key", "fp").unionByName(pieces), links_to_hub
+    own, others = piece_columns(F.col("near"), F.col("far_blocks"), F.col("near_blocks"), F.xxhash64("node"))
+    placed = sided.join(blocks, "key").withColumn("own", own).withColumn("other", F.explode(others))
+    pieces = placed.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *columns[1:])
+    to_hub = sided.where("near AND node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst")).distinct()
+    return rows.join(large.select("key"), "key", "left_anti").select(*columns).unionByName(pieces), to_hub
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -340,7 +368,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 
 
 def keep_first(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each group, with all its columns: that of the smallest id (rows without an id stay)."""
-    groups = near_duplicates(docs, shingle, radius)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each group, with all its columns: that of the smallest id (a row without an id only where no other has one)."""
+    ship_package(docs.sparkSession)
+
+    @F.pandas_udf("long")
+    def marked(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+
+    rows = written(docs.withColumn("__fp", marked(text_bytes())).withColumn("__row", F.monotonically_increasing_id()))
+    classes = rows.groupBy(F.col("__fp").alias("fp")).agg(first_row().alias("first"))
+    roots = components(links(written(classes.select("fp")), radius))
+    return one_of_each(rows, classes, "fp", roots)
+
+
+def first_row():
+    """The row of the smallest id; rows without one come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__row").alias("row")))
+
+
+def one_of_each(rows: DataFrame, classes: DataFrame, node: str, roots: DataFrame) -> DataFrame:
+    """Of each group the first row, without the helping columns. classes: (node, first); roots: (node, root) where they differ."""
+    rooted = classes.join(roots.select(F.col("node").alias(node), "root"), node, "left").groupBy(F.coalesce("root", node).alias("root"))
+    kept = rooted.agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return rows.join(written(kept), "__row", "left_semi").drop(*[c for c in rows.columns if c.startswith("__")])

@@ -36,9 +36,10 @@ def edited_words(text, n, seed):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_stage_against_brute_force(spark, docs, prose, odd, monkeypatch, stars):
-    monkeypatch.setattr(neardup, "STARS", stars)
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_stage_against_brute_force(spark, docs, prose, odd, monkeypatch, block):
+    """Also with every group above a few texts dealt over pairs of blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     pairs = list(odd)
     for b in range(6):  # copies around the threshold: 2 to 8 words edited
         base = prose(b, 300)
@@ -53,3 +54,44 @@ def test_stage_on_the_small_table(spark):
     pairs = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
     got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, SMALL).collect()}
     assert got == brute_kept(pairs)[0]
+
+
+def test_one_row_of_each_group_stays(spark, clash, prose):
+    """Repeated rows, rows without an id and ids of several texts; extra columns stay."""
+    text, other = prose(1, 80), prose(2, 80)
+    pairs = [(3, text), (3, text), (None, text), (None, text), (None, other), (None, other), (4, None), (5, ""), (6, prose(3, 80)), (6, prose(4, 80)), (2, edited_words(prose(3, 80), 1, 1))]
+    out = neardup.keep_first(clash(pairs))
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == sorted([(3, text), (-1, other), (4, ""), (6, prose(4, 80)), (2, edited_words(prose(3, 80), 1, 1))])
+    assert "fp" in out.columns and not [c for c in out.columns if c.startswith("__")]
+    assert neardup.keep_first(clash([]).limit(0)).count() == 0
+
+
+def test_recall_of_candidates():
+    """Pairs of similarity 0.8: within the radius of 128 bits, and in a bucket in common."""
+    rng = np.random.default_rng(5)
+    missed = 0
+    for n in (20, 50, 200, 1000):
+        for _ in range(100):
+            union = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            common_part, rest = union[: n * 4 // 5], union[n * 4 // 5 :]
+            a, b = (np.sort(np.concatenate([common_part, part])) for part in (rest[::2], rest[1::2]))
+            x, y = (np.array(neardup.wide_fingerprint(s), np.int64).view(np.uint64) for s in (a, b))
+            bits = int(np.bitwise_count(x ^ y).sum())
+            missed += bits > neardup.RADIUS or not set(neardup.band_keys(a)) & set(neardup.band_keys(b))
+    assert missed == 0
+
+
+def test_forest_of_sets_equals_all_pairs():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(8):
+        base = rng.integers(0, 1 << 40, 60, dtype=np.uint64)
+        sets += [np.unique(np.where(rng.random(60) < rng.random() / 6, rng.integers(0, 1 << 40, 60, dtype=np.uint64), base)) for _ in range(9)]
+
+    def linked(i, j):
+        common_part = len(np.intersect1d(sets[i], sets[j]))
+        return common_part * 5 >= 4 * (len(sets[i]) + len(sets[j]) - common_part)
+
+    want = brute_components(list(range(len(sets))), linked)
+    assert neardup.similar_forest(sets).tolist() == [want[i] for i in range(len(sets))]
+    assert 8 < len(set(want.values())) < 72

@@ -135,12 +135,14 @@ def test_large_bucket_around_a_hub_goes_out_in_proportion(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     ball = [0] + [1 << b for b in range(64)] + [1 << b | 1 << c for b in range(64) for c in range(b)]
     fps = [f - (1 << 64 if f >> 63 else 0) for f in ball]
-    rows = spark.createDataFrame([(f, 0) for f in fps], "fp long, key long")
+    def bucket(values):
+        return spark.createDataFrame([(0, f, f) for f in values], "key long, node long, fp long")
+
+    rows = bucket(fps)
     large = rows.groupBy("key").count().withColumnRenamed("count", "n")
     pieces, hubs = simhash._dealt(rows, large, 4)
     assert pieces.count() == 0 and hubs.count() == len(fps) - 1
-    far = spark.createDataFrame([(f ^ 0x3FF0000000000000, 0) for f in fps[:40]], "fp long, key long")
-    both = rows.unionByName(far)
+    both = rows.unionByName(bucket([f ^ 0x3FF0000000000000 for f in fps[:40]]))
     pieces, hubs = simhash._dealt(both, both.groupBy("key").count().withColumnRenamed("count", "n"), 4)
     assert pieces.count() <= 5 * len(fps) + 40 * (len(fps) // 16 + 5)
     roots = common.components(simhash.links(both.select("fp").distinct(), 4, 2)).collect()
