@@ -9,14 +9,15 @@ the lines near them only and survive insertions before them. Chunks of two and m
 once in the corpus are removed everywhere but at their first occurrence (smallest doc_id, then place), after the
 bytes of both have been compared. Lines are split at the newline character and compared unchanged.
 
-Rows: a null text stays null and has no lines; an empty text has one empty line. A null doc_id is one document
-that sorts first. Rows that repeat a doc_id count as one document: chunks found repeated go from each of them.
-A document all of whose chunks go keeps its row, with an empty text.
+Rows: a null text stays null and has no lines; an empty text has one empty line. A document is known by its doc_id and
+its text's hash: rows that are equal in both are one document and lose the same; rows of one doc_id with other texts
+are documents of their own, in the order of that hash; a null doc_id sorts first. A document all of whose chunks go keeps
+its row, with an empty text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,47 +78,63 @@ def _pieces(by: str):
     return windows if by == PASSAGES else chunks
 
 
-def repeated(docs: DataFrame, by: str = CHUNKS) -> DataFrame:
-    """(doc, drop): for each document with repeats, the places of the chunks (or pairs of lines) to remove."""
+def body_hash(body: bytes) -> int:
     from xxhash import xxh3_64_intdigest
 
+    return xxh3_64_intdigest(body)
+
+
+def row_mark():
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(text_bytes())
+
+
+def repeated(docs: DataFrame, by: str = CHUNKS, hash_of: Callable[[bytes], int] = body_hash) -> DataFrame:
+    """(doc, mark, drop): for each document with repeats, the places of the chunks (or pairs of lines) to remove."""
     ship_package(docs.sparkSession)
     pieces = _pieces(by)
-    keyed = docs.where("text is not null").select(doc_key().alias("doc"), text_bytes().alias("text"))
+    keyed = docs.where("text is not null").select(doc_key().alias("doc"), row_mark().alias("mark"), text_bytes().alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, i, body) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, (_, n, body) in enumerate(pieces(t)) if n >= LEAST]
-            lowest: dict[bytes, tuple[int, int]] = {}
-            for d, i, body in rows:
-                if body not in lowest or (d, i) < lowest[body]:
-                    lowest[body] = (d, i)
-            hashes = np.fromiter((xxh3_64_intdigest(body) for _, _, body in rows), np.uint64, len(rows))
-            settled = [(d, i) != lowest[body] for d, i, body in rows]
-            cols = [pa.array(hashes.view(np.int64)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array(settled, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, ["hash", "doc", "place", "settled"])
+            texts = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            rows = [((d, m, i), body) for d, m, t in texts for i, (_, n, body) in enumerate(pieces(t)) if n >= LEAST]
+            lowest: dict[bytes, tuple[int, int, int]] = {}
+            for place, body in rows:
+                if body not in lowest or place < lowest[body]:
+                    lowest[body] = place
+            hashes = np.fromiter((hash_of(body) for _, body in rows), np.uint64, len(rows))
+            settled = [place != lowest[body] for place, body in rows]
+            places = [pa.array([place[j] for place, _ in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *places, pa.array(settled, pa.bool_())], ["hash", "doc", "mark", "place", "settled"])
 
     # A batch settles its own repeats, byte by byte; only their first goes on, so a chunk that very many documents share arrives once a batch.
-    all_chunks = written(keyed.mapInArrow(hashed, "hash long, doc long, place int, settled boolean"))
+    all_chunks = written(keyed.mapInArrow(hashed, "hash long, doc long, mark long, place int, settled boolean"))
     left = all_chunks.where("not settled").drop("settled")
-    first = cut(left.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last")).where("first <> last").select("hash", "first"))
-    marks = left.join(first, "hash").select("doc", "hash", "place", (F.struct("doc", "place") == F.col("first")).alias("is_first"))
-    marked = marks.distinct().groupBy("doc").agg(F.collect_list(F.struct("hash", "place", "is_first")).alias("marks"))  # a document's own chunks
+    at = F.struct("doc", "mark", "place")
+    first = cut(left.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("hash", "first"))
+    marks = left.join(first, "hash").select("doc", "mark", "hash", "place", (at == F.col("first")).alias("is_first"))
+    marked = marks.distinct().groupBy("doc", "mark").agg(F.collect_list(F.struct("hash", "place", "is_first")).alias("marks"))  # a document's own chunks
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for d, t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for d, m, t, marks in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = pieces(t)
-                rows += [(x["hash"], d, x["place"], x["is_first"], own[x["place"]][2]) for x in m if x["place"] < len(own)]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], ["hash", "doc", "place", "is_first", "body"])
+                rows += [(x["hash"], d, m, x["place"], x["is_first"], own[x["place"]][2]) for x in marks]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], ["hash", "doc", "mark", "place", "is_first", "body"])
 
-    found = written(keyed.join(marked, "doc").select("doc", "text", "marks").mapInArrow(bodies, "hash long, doc long, place int, is_first boolean, body binary"))
+    found = keyed.join(marked, ["doc", "mark"]).select("doc", "mark", "text", "marks")
+    found = written(found.mapInArrow(bodies, "hash long, doc long, mark long, place int, is_first boolean, body binary"))
     source = found.where("is_first").groupBy("hash").agg(F.first("body").alias("source"))
-    same = found.where("not is_first").join(written(source), "hash").where(F.col("body") == F.col("source"))
-    gone = same.select("doc", "place").unionByName(all_chunks.where("settled").select("doc", "place"))
-    return gone.distinct().groupBy("doc").agg(F.collect_list("place").alias("drop"))
+    later = found.where("not is_first").join(written(source), "hash").withColumn("same", F.col("body") == F.col("source"))
+    other = later.where("not same").select("hash", "doc", "mark", "place", "body")  # equal hashes of other bytes: held against each other by their bytes
+    own = other.groupBy("hash", "body").agg(F.min(at).alias("first")).alias("o")
+    again = other.alias("r").join(own, F.expr("r.hash = o.hash AND r.body = o.body")).select("r.doc", "r.mark", "r.place", "o.first")
+    gone = later.where("same").select("doc", "mark", "place").unionByName(again.where(at != F.col("first")).select("doc", "mark", "place"))
+    gone = gone.unionByName(all_chunks.where("settled").select("doc", "mark", "place"))
+    return gone.distinct().groupBy("doc", "mark").agg(F.collect_list("place").alias("drop"))
 
 
 def _left(texts: pd.Series, drops: pd.Series, by: str) -> pd.DataFrame:
@@ -139,11 +156,11 @@ def _left(texts: pd.Series, drops: pd.Series, by: str) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
 
-def dedup(docs: DataFrame, by: str = CHUNKS) -> DataFrame:
+def dedup(docs: DataFrame, by: str = CHUNKS, hash_of: Callable[[bytes], int] = body_hash) -> DataFrame:
     """docs with the text that is left, n_lines and n_removed (in place of columns so named); all others as they were."""
     docs = docs.drop("n_lines", "n_removed")
-    drop = repeated(docs, by).select(F.col("doc").alias("__doc"), F.col("drop").alias("__drop"))
-    joined = docs.withColumn("__doc", doc_key()).join(drop, "__doc", "left")
+    drop = repeated(docs, by, hash_of).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("drop").alias("__drop"))
+    joined = docs.withColumn("__doc", doc_key()).withColumn("__mark", row_mark()).join(drop, ["__doc", "__mark"], "left")
 
     def without(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
         return _left(texts, drops, by)

@@ -77,20 +77,41 @@ def test_repeated_rows_do_not_remove_each_other(docs, prose):
 # Lines
 
 
+def by_row(pairs):
+    """Documents in the operators' order: each (doc_id, text) once."""
+    return sorted(set(pairs), key=lambda x: (x[0] is not None, x[0] or 0))
+
+
+def own_chunks(text):
+    """The chunks of a text, written out anew: lines after which the rolling hash of the last two says so end a chunk."""
+    import xxhash
+
+    lines, chunks, start = text.split("\n"), [], 0
+    if len(lines) < 2:
+        return [lines]
+    h = [xxhash.xxh3_64_intdigest(x.encode()) for x in lines]
+    for i in range(len(lines)):
+        roll = (h[i] + (h[i - 1] * 0x9E3779B97F4A7C15 if i else 0)) % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            roll = (roll ^ roll >> shift) * factor % 2**64
+        length = i + 1 - start
+        if length >= 16 or (length >= 2 and (roll ^ roll >> 31) % 2 == 0) or i + 1 == len(lines):
+            chunks.append(lines[start : i + 1])
+            start = i + 1
+    return chunks
+
+
 def brute_lines(pairs):
     """doc_id -> text left: chunks of two and more lines stay at their first place only."""
-    first, out = {}, {}
-    for d, t in sorted(pairs, key=lambda x: (x[0] is not None, x[0] or 0)):
-        if t is None:
-            out[d] = None
-            continue
+    first, out = set(), {}
+    for d, t in by_row(pairs):
         kept = []
-        for _, n, body in linededup.chunks(t.encode()):
-            if n >= linededup.LEAST and body in first:
+        for chunk in own_chunks(t or ""):
+            if len(chunk) >= 2 and tuple(chunk) in first:
                 continue
-            first.setdefault(body, d)
-            kept.append(body)
-        out[d] = b"\n".join(kept).decode()
+            first.add(tuple(chunk))
+            kept += chunk
+        out[d] = None if t is None else "\n".join(kept)
     return out
 
 
@@ -116,14 +137,28 @@ def test_boundaries_survive_an_insertion():
     assert all(n <= linededup.MOST for _, n, _ in linededup.chunks(("z\n" * 500).encode()))
 
 
-def test_equal_hashes_with_other_bytes_stay(docs, monkeypatch):
-    import xxhash
+@pytest.mark.parametrize("by", [linededup.CHUNKS, linededup.PASSAGES])
+def test_equal_hashes_of_other_bytes(docs, by):
+    """All bodies collide: what differs stays, what is equal goes, also where the first of the hash is another."""
+
+    def same_hash(body):
+        return 7
 
-    monkeypatch.setattr(linededup, "chunks", lambda t: [(0, 2, t)])
-    assert xxhash.xxh3_64_intdigest(b"a") != xxhash.xxh3_64_intdigest(b"b")
-    pairs = [(1, "a\nb"), (2, "a\nb"), (3, "a\nc")]
-    got = {r["doc_id"]: r["n_removed"] for r in linededup.dedup(docs(pairs)).collect()}
-    assert got == {1: 0, 2: 2, 3: 0}
+    pairs = [(1, "a\nb"), (2, "c\nd"), (3, "c\nd"), (4, "e\nf"), (5, "a\nb"), (6, "c\nd")]
+    for rows in (pairs, pairs[:4]):
+        got = {r["doc_id"]: r["n_removed"] for r in linededup.dedup(docs(rows).repartition(6), by, same_hash).collect()}
+        assert got == {d: {3: 2, 5: 2, 6: 2}.get(d, 0) for d, _ in rows}
+
+
+@pytest.mark.parametrize("by", [linededup.CHUNKS, linededup.PASSAGES])
+def test_lines_of_rows_that_share_an_id(docs, by):
+    """Repeated and null ids: a text that repeats nothing loses nothing."""
+    a, z, y = ("\n".join(some_lines(n, 30)) for n in (70, 71, 72))
+    pairs = [(1, a), (7, a), (7, z), (7, z), (None, z.upper()), (None, y), (None, y + "\nend"), (8, z)]
+    rows = sorted((r["doc_id"] or -1, r["n_lines"], r["n_removed"]) for r in linededup.dedup(docs(pairs), by).collect())
+    first_y = [r for r in rows if r[0] == -1 and r[2] > 20]
+    assert len(first_y) == 1 and first_y[0][1] in (30, 31)
+    assert [r for r in rows if r not in first_y] == sorted([(1, 30, 0), (7, 30, 30), (7, 30, 0), (7, 30, 0), (8, 30, 30), (-1, 30, 0), (-1, 61 - first_y[0][1], 0)])
 
 
 def test_line_dedup_odd_rows(docs, odd, clash):
@@ -138,7 +173,7 @@ def test_line_dedup_odd_rows(docs, odd, clash):
 def brute_passages(pairs):
     """doc_id -> text left: lines of any two consecutive lines seen before go, whatever chunks there are."""
     seen, out = set(), {}
-    for d, t in sorted(pairs, key=lambda x: (x[0] is not None, x[0] or 0)):
+    for d, t in by_row(pairs):
         lines, gone = (t or "").split("\n"), set()
         for i in range(len(lines) - 1):
             if (lines[i], lines[i + 1]) in seen:
