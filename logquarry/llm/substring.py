@@ -1,40 +1,49 @@
 """Substring dedup by De Bruijn compaction.
 
-The k-mers (windows of k words) are the edges of a De Bruijn graph over the whole corpus. Each document is
-first cut into super-k-mers: runs of consecutive k-mers that share their minimizer (the m-gram of least hash),
-so that equal k-mers always meet under equal minimizers and a nonbranching stretch of a path travels as one
-row. Under its minimizer a super-k-mer that occurs once holds no repeat; where only one form of it occurs the
-path does not branch and it is compacted whole (every occurrence but the first is a repeat); where several
-forms occur the path branches, and only there the single k-mers are opened and joined by their own hash.
-Repeats are verified at the source's and the repeat's coordinates by hashes, not by the words themselves: a whole
-super-k-mer by a 64-bit hash of all its words under the same minimizer (itself a 64-bit hash), a single k-mer by
-two independent 64-bit hashes of its words. They are merged into maximal spans for each document, and removed.
-
-Before every exchange a batch resolves its own repeats (all but its first occurrence are settled), so a passage
-that a third of all rows share arrives as one row a batch, not one a document.
-
-Rows: a null text has no words; a null doc_id is one document that sorts first. Texts under k words have no
-window. Rows that repeat a doc_id count as one document: positions found in any of them are removed from each.
+The k-mers (windows of k words) are the edges of a De Bruijn graph over the whole corpus. Each document is first cut
+into super-k-mers: runs of consecutive k-mers that share their minimizer (the m-gram of least hash), so that equal
+k-mers always meet under equal minimizers and a nonbranching stretch of a path travels as one row.
+
+1. Minimizers that occur once hold no repeat; a join with those that occur more often keeps the other runs.
+2. A run is a form of its minimizer. A join with the first place of each form makes every later one a repeat of it,
+   whole. Where a minimizer has one form, the path through it does not branch, and its first run stays compact too;
+   where it has several, the path branches, and a join with those minimizers opens the first run of each form.
+3. Only opened runs become single k-mers, joined by their hash with the first place of each.
+4. Repeats of one document that follow each other as their sources do compact to one path with one source.
+5. Every path is verified at its source's coordinates: the source's words, in blocks of BLOCK words, are joined to the
+   path and compared word by word with the document's own before anything is removed. If a single comparison fails
+   (equal hashes of other words), the whole run is done again with other hashes; so the result never rests on a hash.
+
+Every first place is a minimum that is combined on the map side, and every join has plain exchanges that the adaptive
+skew join can split. Before each exchange a batch resolves its own repeats, so a passage that a third of all rows
+share arrives as one row a batch, not one a document.
+
+Rows: a null text has no words; a null doc_id sorts first. Texts under k words have no window. Rows equal in doc_id and
+text are one document and lose the same; rows of one doc_id with other texts are documents of their own, in the order
+of their texts' hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package
-from .common import doc_key, from_doc_key, mix64, text_bytes
+from .common import doc_key, from_doc_key, mix64, text_bytes, written
 from .packing import slices
 
 #: Words of a minimizer.
 M = 5
+#: Words of a block of a source, by which paths are verified.
+BLOCK = 32
+#: Text that is taken at once.
+SLICE = 8 << 20
 OPEN, REPEAT, SELF = 0, 1, 2  # a row still to be compared; settled; to be opened in any case
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -61,14 +70,22 @@ class Hashes:
         return mix64(raw ^ (np.uint64(0xA0761D6478BD642F) * np.asarray(length, np.uint64)))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and where each text's words start (with the end)."""
+def word_hash(word: bytes, seed: int) -> int:
     from xxhash import xxh3_64_intdigest
 
+    return xxh3_64_intdigest(word, seed)
+
+
+def word_hashes(texts: list[bytes], seed: int, hash_of: Callable[[bytes, int], int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and where each text's words start (with the end)."""
     split = [t.split() for t in texts]
     counts = np.fromiter(map(len, split), np.int64, len(split))
-    total = int(counts.sum())
-    words = np.fromiter((xxh3_64_intdigest(w) for ws in split for w in ws), np.uint64, total)
+    if hash_of is word_hash:
+        from xxhash import xxh3_64_intdigest as known
+
+        words = np.fromiter((known(w, seed) for ws in split for w in ws), np.uint64, int(counts.sum()))
+    else:
+        words = np.fromiter((hash_of(w, seed) for ws in split for w in ws), np.uint64, int(counts.sum()))
     return words, np.concatenate(([0], np.cumsum(counts)))
 
 
@@ -110,103 +127,164 @@ def super_kmers(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarr
     return text[first], first - starts[text[first]], size, low[first], content, again
 
 
-def settle(order: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> np.ndarray:
-    """For rows with equal `same` columns: True for all that come after the first in `order` (most significant first); its ties are not after it."""
+def settle(order: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """For rows with equal `same` columns: which is the first in `order` (most significant first), and whether a row comes after it."""
     index = np.lexsort((*order[::-1], *same[::-1]))
     new = np.ones(len(index), bool)
     if len(index) > 1:
         new[1:] = np.logical_or.reduce([c[index[1:]] != c[index[:-1]] for c in same])
-    first = index[np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.zeros(len(index), bool)
-    out[index] = np.logical_or.reduce([c[index] != c[first] for c in order])
-    return out
-
-
-def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal spans [start, stop) of each document."""
-    if not len(doc):
-        return doc, start, stop
-    order = np.lexsort((start, doc))
-    doc, start, stop = doc[order], start[order], stop[order]
-    base = np.concatenate(([0], np.cumsum(doc[1:] != doc[:-1]))) * (int(stop.max()) + 2)
-    reach = np.maximum.accumulate(stop + base)
+    first = np.empty(len(index), np.int64)
+    first[index] = index[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return first, np.logical_or.reduce([c != c[first] for c in order])
+
+
+def compact(start: np.ndarray, n: np.ndarray, src_doc: np.ndarray, src_mark: np.ndarray, src_start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Paths (start, windows, source's doc, mark and start) of one document's repeats: those that go on as their source does are one."""
+    order = np.lexsort((start, src_start - start, src_mark, src_doc))
+    start, n, src_doc, src_mark, src_start = (x[order] for x in (start, n, src_doc, src_mark, src_start))
+    same = (src_doc[1:] == src_doc[:-1]) & (src_mark[1:] == src_mark[:-1]) & (src_start[1:] - start[1:] == src_start[:-1] - start[:-1])
+    line = np.concatenate(([0], np.cumsum(~same)))  # of one source and distance
+    base = line * (int((start + n).max()) + 2)
+    reach = np.maximum.accumulate(start + n + base)
     new = np.concatenate(([True], start[1:] + base[1:] > reach[:-1]))
-    return doc[new], start[new], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1]) - base[new]
+    stop = np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1]) - base[new]
+    return start[new], stop - start[new], src_doc[new], src_mark[new], src_start[new]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def spans(docs: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents (doc, text), spans (doc, start, stop) of words to remove).
+def _lists(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(where each row's list starts, with the end; each field of all lists' structs)."""
+    flat = column.values
+    return column.offsets.to_numpy(), [flat.field(j).to_numpy(zero_copy_only=False) for j in range(flat.type.num_fields)]
 
-    A word is to be removed if a window over it holds the words of an earlier window: one of a smaller
-    doc_id, or of the same document at an earlier place.
-    """
-    ship_package(docs.sparkSession)
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc, mark, text): mark tells rows of one doc_id with different texts apart, and is 0 where there are none."""
     keyed = docs.select(doc_key().alias("doc"), text_bytes().alias("text"))
+    marked = keyed.select("doc", F.xxhash64("text").alias("mark")).groupBy("doc").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    several = written(marked.where("low <> high").select("doc"))
+    if several.isEmpty():
+        return keyed.select("doc", F.lit(0).cast("long").alias("mark"), "text")
+    told = keyed.join(several.withColumn("several", F.lit(True)), "doc", "left")
+    return told.select("doc", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("mark"), "text")
+
+
+RUNS = "low long, content long, doc long, mark long, first int, size int, state byte, src_doc long, src_mark long, src_first int"
+EDGES = "one long, doc long, mark long, start int, n int, src_doc long, src_mark long, src_start int, settled boolean"
+PIECES = "doc long, mark long, start int, length int, src_doc long, src_mark long, block int, offset int"
+
+
+def _batch(ddl: str, *columns) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "byte": pa.int8(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in ddl.split(", ")]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+    return pa.RecordBatch.from_arrays([a.cast(types[t]) for a, (_, t) in zip(arrays, fields, strict=True)], [name for name, _ in fields])
+
+
+def pieces(keyed: DataFrame, k: int, seed: int, hash_of: Callable[[bytes, int], int]) -> DataFrame:
+    """Words to remove, by places (PIECES): length words from start repeat those from offset of a block of the source.
+
+    A word is to be removed if a window over it holds the words of an earlier window: one of an earlier document, or
+    of the same document at an earlier place.
+    """
+    ship_package(keyed.sparkSession)
+
+    def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for lo, hi in slices(texts, SLICE):
+                low = super_kmers(*word_hashes(texts[lo:hi], seed, hash_of), k)[3]
+                low, n = np.unique(low, return_counts=True)
+                yield _batch("low long, n long", _signed(low), n)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            for lo, hi in slices(texts, 8 << 20):
-                words, starts = word_hashes(texts[lo:hi])
-                text, first, size, low, content, again = super_kmers(words, starts, k)
-                doc = ids[lo:hi][text]
-                later = settle((doc, first), (low, content))
-                state = np.where(later, REPEAT, np.where(again, SELF, OPEN)).astype(np.int8)
-                low = np.where(later, mix64(low ^ mix64(doc.view(np.uint64) ^ first.astype(np.uint64))), low)
-                cols = [_signed(low), _signed(content), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(state)]
-                yield pa.RecordBatch.from_arrays(cols, ["low", "content", "doc", "first", "size", "state"])
-
-    rows = keyed.mapInArrow(runs, "low long, content long, doc long, first int, size int, state byte")
-    is_open = F.col("state") != REPEAT
-    by_low, by_form = W.partitionBy("low"), W.partitionBy("low", "content", "__open").orderBy("doc", "first")
-    form = F.when(is_open, F.col("content"))
-    told = (
-        rows.withColumn("__open", is_open)
-        .withColumn("forms", F.min(form).over(by_low) != F.max(form).over(by_low))  # first: its exchange serves the next window too
-        .withColumn("place", F.rank().over(by_form))
-        .withColumn("state", F.when(~F.col("__open") | (F.col("place") > 1), REPEAT).when(F.col("forms") | (F.col("state") == SELF), OPEN))
-        .where("state is not null")
-        .groupBy("doc")
-        .agg(F.collect_list(F.struct("first", "size", "state")).alias("runs"))  # at most the document's own runs
-    )
+            docs, marks, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            for lo, hi in slices(texts, SLICE):
+                text, first, size, low, content, again = super_kmers(*word_hashes(texts[lo:hi], seed, hash_of), k)
+                doc, mark = docs[lo:hi][text], marks[lo:hi][text]
+                source, later = settle((doc, mark, first), (low, content))
+                state = np.where(later, REPEAT, np.where(again, SELF, OPEN))
+                low = np.where(later, mix64(low ^ mix64(doc.view(np.uint64) ^ first.astype(np.uint64))), low)  # settled ones are spread
+                told = [np.where(later, x[source], 0) for x in (doc, mark, first)]
+                yield _batch(RUNS, _signed(low), _signed(np.where(later, np.uint64(0), content)), doc, mark, first, size, state, *told)
+
+    counted = keyed.select("text").mapInArrow(lows, "low long, n long").groupBy("low").agg(F.sum("n").alias("n"))
+    shared = written(counted.where("n > 1").select("low")).withColumn("shared", F.lit(True))
+    rows = keyed.mapInArrow(runs, RUNS).join(shared, "low", "left")
+    rows = written(rows.where(F.col("shared") | (F.col("state") != OPEN)).drop("shared"))
+
+    live, at = rows.where(F.col("state") != REPEAT), F.struct("doc", "mark", "first")
+    branching = live.groupBy("low").agg(F.min("content").alias("one"), F.max("content").alias("other")).where("one <> other").select("low", F.lit(True).alias("branches"))
+    firsts = live.groupBy("content").agg(F.min(at).alias("source"))
+    told = live.join(firsts, "content").join(branching, "low", "left")
+    told = told.withColumn("state", F.when(at != F.col("source"), REPEAT).when(F.col("branches") | (F.col("state") == SELF), OPEN)).where("state is not null")
+    run = [F.col("first"), F.col("size"), F.col("state").cast("byte").alias("state")]
+    told = told.select("doc", "mark", *run, F.col("source.doc").alias("src_doc"), F.col("source.mark").alias("src_mark"), F.col("source.first").alias("src_first"))
+    told = told.unionByName(rows.where(F.col("state") == REPEAT).select("doc", "mark", *run, "src_doc", "src_mark", "src_first"))
+    told = told.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "size", "state", "src_doc", "src_mark", "src_first")).alias("runs"))  # a document's own
 
     def open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-            lists = b.column(2)
-            offsets, flat = lists.offsets.to_numpy(), lists.values
-            first, size, state = (flat.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in range(3))
-            for lo, hi in slices(texts, 8 << 20):
-                words, starts = word_hashes(texts[lo:hi])
-                a, z = offsets[lo], offsets[hi]
+            docs, marks, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            offsets, fields = _lists(b.column(3))
+            for lo, hi in slices(texts, SLICE):
+                words, starts = word_hashes(texts[lo:hi], seed, hash_of)
                 text = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
-                f, n, s = first[a:z], size[a:z], state[a:z]
-                fits = starts[text] + f + n + k - 1 <= starts[text + 1]  # not so only if rows of one id differ
-                text, f, n, s = text[fits], f[fits], n[fits], s[fits]
-                doc = ids[lo:hi][text]
-                done = s == REPEAT
-                wide = np.repeat(np.flatnonzero(~done), n[~done])
-                inside = np.arange(len(wide)) - np.repeat(np.cumsum(n[~done]) - n[~done], n[~done])
-                place = f[wide] + inside
-                at = starts[text[wide]] + place
-                one, two = (Hashes(words, base).runs(at, k) for base in BASES)
-                owner = doc[wide]
-                later = settle((owner, place), (one, two))
-                d, x, y = _merged(np.concatenate([doc[done], owner[later]]), np.concatenate([f[done], place[later]]), np.concatenate([(f + n + k - 1)[done], place[later] + k]))
-                spread = mix64(d.view(np.uint64) ^ mix64(x.astype(np.uint64)))
-                left = ~later
-                cols = [np.concatenate([spread, one[left]]).view(np.int64), np.concatenate([np.zeros(len(d), np.uint64), two[left]]).view(np.int64)]
-                cols += [np.concatenate(p) for p in ((d, owner[left]), (x, place[left]), (y, place[left] + k), (np.full(len(d), REPEAT), np.full(left.sum(), OPEN)))]
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int8()]
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, types, strict=True)], ["one", "two", "doc", "start", "stop", "state"])
-
-    windows = keyed.join(told, "doc").select("doc", "text", "runs").mapInArrow(open_runs, "one long, two long, doc long, start int, stop int, state byte")
-    place = F.rank().over(W.partitionBy("one", "two", "state").orderBy("doc", "start"))
-    return keyed, windows.withColumn("place", place).where((F.col("state") == REPEAT) | (F.col("place") > 1)).select("doc", "start", "stop")
+                first, size, state, *source = (x[offsets[lo] : offsets[hi]].astype(np.int64) for x in fields)
+                done = state == REPEAT
+                wide = np.repeat(np.flatnonzero(~done), size[~done])
+                place = first[wide] + np.arange(len(wide)) - np.repeat(np.cumsum(size[~done]) - size[~done], size[~done])
+                one = Hashes(words, BASES[0]).runs(starts[text[wide]] + place, k)
+                doc, mark = docs[lo:hi][text], marks[lo:hi][text]
+                low, later = settle((doc[wide], mark[wide], place), (one,))
+                inner = [x[wide][low] for x in (doc, mark)] + [place[low]]
+                one = np.where(later, mix64(one ^ mix64(doc[wide].view(np.uint64) ^ place.astype(np.uint64))), one)
+                spread = mix64(doc[done].view(np.uint64) ^ mix64(first[done].astype(np.uint64)))
+                both = [np.concatenate(p) for p in zip((spread, doc[done], mark[done], first[done], size[done], *(x[done] for x in source), np.ones(done.sum(), bool)), (one, doc[wide], mark[wide], place, np.ones(len(wide), np.int64), *inner, later), strict=True)]
+                yield _batch(EDGES, _signed(both[0]), *both[1:])
+
+    opened = keyed.join(told, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(open_runs, EDGES)
+    at = F.struct("doc", "mark", "start")
+    firsts = opened.where("not settled").groupBy("one").agg(F.min(at).alias("source"), F.max(at).alias("last")).where("source <> last").select("one", "source")
+    edges = opened.join(firsts, "one", "left").where(F.col("settled") | (at != F.col("source")))
+    own = [F.when(F.col("settled"), F.col(f"src_{c}")).otherwise(F.col(f"source.{c}")).alias(f"src_{c}") for c in ("doc", "mark", "start")]
+    repeats = edges.select("doc", "mark", "start", "n", *own).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_mark", "src_start")).alias("repeats"))
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, fields = _lists(b.column(2))
+            for i, (doc, mark) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                own = slice(offsets[i], offsets[i + 1])
+                start, n, src_doc, src_mark, src_start = compact(*(x[own].astype(np.int64) for x in fields))
+                length = n + k - 1
+                low, high = src_start // BLOCK, (src_start + length - 1) // BLOCK
+                path = np.repeat(np.arange(len(start)), high - low + 1)
+                block = low[path] + np.arange(len(path)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+                a = np.maximum(block * BLOCK, src_start[path])
+                z = np.minimum((block + 1) * BLOCK, (src_start + length)[path])
+                yield _batch(PIECES, np.full(len(path), doc), np.full(len(path), mark), (start - src_start)[path] + a, z - a, src_doc[path], src_mark[path], block, a - block * BLOCK)
+
+    return repeats.mapInArrow(paths, PIECES)
+
+
+def source_words(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """(src_doc, src_mark, block, words) of the blocks that pieces name, the words joined by one space."""
+    needed = found.select("src_doc", "src_mark", "block").distinct().groupBy(F.col("src_doc").alias("doc"), F.col("src_mark").alias("mark")).agg(F.collect_list("block").alias("blocks"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc, mark, text, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = text.split()
+                rows += [(doc, mark, i, b" ".join(words[i * BLOCK : (i + 1) * BLOCK])) for i in blocks]
+            yield _batch("src_doc long, src_mark long, block int, words binary", *(pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))))
+
+    cuts = keyed.join(needed, ["doc", "mark"]).select("doc", "mark", "text", "blocks").mapInArrow(cut, "src_doc long, src_mark long, block int, words binary")
+    return cuts.groupBy("src_doc", "src_mark", "block").agg(F.first("words").alias("words"))  # rows that are equal give theirs once
 
 
 def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -224,20 +302,42 @@ def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, byt
     return n, n - len(left), b" ".join(left)
 
 
-def dedup(docs: DataFrame, k: int = 20, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of every row; kept too if with_text."""
-    keyed, found = spans(docs, k)
-    cuts = found.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    ddl = "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+def verified_spans(words: list[bytes], marks: list[dict]) -> list[tuple[int, int]] | None:
+    """The spans of a document whose words are those at their source's coordinates; None if some are not."""
+    spans = []
+    for m in marks:
+        a, n, offset, source = m["start"], m["length"], m["offset"], m["words"]
+        if source is None or words[a : a + n] != source.split()[offset : offset + n]:
+            return None
+        spans.append((a, a + n))
+    return spans
+
+
+def _result(keyed: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
+    checked = found.join(source_words(keyed, found), ["src_doc", "src_mark", "block"], "left")
+    cuts = checked.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "length", "offset", "words")).alias("cuts"))
+    ddl = "doc long, n_words long, n_removed long, kept_sha256 string, verified boolean" + ", kept string" * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n, gone, kept = kept_words(text, [(m["start"], m["stop"]) for m in marks or ()])
-                rows.append((n, gone, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "replace")] * with_text))
-            cols = [pa.array([r[j] for r in rows], pa.int64() if j < 2 else pa.string()) for j in range(3 + with_text)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
+                spans = verified_spans(text.split(), marks) if marks else []
+                n, gone, kept = kept_words(text, spans or [])
+                rows.append((n, gone, hashlib.sha256(kept).hexdigest(), spans is not None, *[kept.decode("utf-8", "replace")] * with_text))
+            types = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
+            cols = [pa.array([r[j] for r in rows], types[j]) for j in range(4 + with_text)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc", "n_words", "n_removed", "kept_sha256", "verified", "kept"][: 5 + with_text])
+
+    return keyed.join(cuts, ["doc", "mark"], "left").select("doc", "text", "cuts").mapInArrow(cut, ddl)
 
-    out = keyed.join(cuts, "doc", "left").select("doc", "text", "cuts").mapInArrow(cut, ddl)
-    return out.select(from_doc_key("doc").alias("doc_id"), *out.columns[1:])
+
+def dedup(docs: DataFrame, k: int = 20, with_text: bool = False, hash_of: Callable[[bytes, int], int] = word_hash) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row; kept too if with_text."""
+    keyed, seed = keyed_texts(docs), 0
+    while True:
+        out = written(_result(keyed, pieces(keyed, k, seed, hash_of), with_text))
+        if out.where("not verified").isEmpty():
+            break
+        seed += 1  # equal hashes of other words: all again with other hashes
+    return out.select(from_doc_key("doc").alias("doc_id"), *[c for c in out.columns if c not in ("doc", "verified")])

@@ -9,9 +9,9 @@ from logquarry.llm import decontam, linededup, substring
 
 
 def brute_spans(pairs, k):
-    """doc_id -> (words, removed, hash of what is left)."""
+    """Sorted (doc_id, words, removed, hash of what is left) of all rows."""
     first, out = {}, {}
-    for d, t in sorted(pairs, key=lambda x: (x[0] is not None, x[0] or 0)):
+    for d, t in by_row(pairs):
         w = (t or "").encode().split()
         gone = [False] * len(w)
         for i in range(len(w) - k + 1):
@@ -21,12 +21,13 @@ def brute_spans(pairs, k):
             else:
                 first[key] = 1
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        out[d] = (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
-    return out
+        out[d, t] = (-1 if d is None else d, len(w), sum(gone), hashlib.sha256(kept).hexdigest())
+    return sorted(out[p] for p in pairs)
 
 
-def check_substring(docs, pairs, k=20):
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.dedup(docs(pairs), k).collect()}
+def check_substring(docs, pairs, k=20, **more):
+    rows = substring.dedup(docs(pairs), k, **more).collect()
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows)
     assert got == brute_spans(pairs, k)
 
 
@@ -64,7 +65,7 @@ def test_substring_odd_rows(docs, odd, clash):
     rows = substring.dedup(clash(list(odd))).collect()
     assert len(rows) == len(odd)
     by = {r["doc_id"]: r for r in rows}
-    assert by[5]["n_words"] == 200_000 and by[5]["n_removed"] == 200_000 - 1 or by[5]["n_removed"] == 199_999 or by[5]["n_removed"] == 200_000
+    assert (by[5]["n_words"], by[5]["n_removed"]) == (200_000, 199_999)
     assert by[1]["n_words"] == 0 and by[1]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
     assert substring.dedup(docs([])).count() == 0
 
@@ -74,6 +75,36 @@ def test_repeated_rows_do_not_remove_each_other(docs, prose):
     assert [r["n_removed"] for r in substring.dedup(docs([(1, t), (1, t)])).collect()] == [0, 0]
 
 
+def test_rows_that_share_an_id(docs, prose):
+    """Repeated and null ids: unique text stays, also beside a copy of the same id."""
+    a, z, y = prose(1, 30, 10**6), prose(2, 30, 10**6), prose(3, 45, 10**6)
+    check_substring(docs, [(1, a), (7, a), (7, z), (7, z), (9, z + " " + a)])
+    check_substring(docs, [(None, a), (None, z), (None, y), (5, y + " " + z)])
+    rows = substring.dedup(docs([(None, a), (None, a + " end"), (None, y)])).collect()
+    assert sorted(r["n_removed"] for r in rows) == [0, 0, 30]
+
+
+def test_equal_hashes_of_other_words(docs, prose):
+    """Under the first seeds words collide: paths fail at their source, and the run is done again."""
+
+    def weak(word, seed):
+        return (sum(word) % 3 if seed == 0 else int.from_bytes(word[-1:]) if seed == 1 else hash_words(word)) * 0x9E3779B97F4A7C15 % 2**64
+
+    def hash_words(word):
+        return int.from_bytes(hashlib.sha256(word).digest()[:8])
+
+    passage = prose(1, 60)
+    pairs = [(1, prose(2, 50) + " " + passage), (2, prose(3, 60)), (3, passage + " " + prose(4, 50)), (4, passage)]
+    check_substring(docs, pairs, hash_of=weak)
+
+
+def test_paths_compact():
+    """Windows that go on as their source does are one path; another source or distance is another."""
+    start, n, doc, mark, src = (np.array(x) for x in ([0, 1, 2, 10, 5, 3, 20], [1, 1, 1, 4, 5, 1, 1], [1, 1, 1, 1, 1, 2, 1], [0] * 7, [4, 5, 6, 14, 9, 7, 90]))
+    got = sorted(zip(*(x.tolist() for x in substring.compact(start, n, doc, mark, src)), strict=True))
+    assert got == [(0, 3, 1, 0, 4), (3, 1, 2, 0, 7), (5, 9, 1, 0, 9), (20, 1, 1, 0, 90)]
+
+
 # Lines
 
 
