@@ -6,8 +6,8 @@ languages. A document's probabilities are its windows' mean, weighted by their b
 counts. The network is trained in numpy on a bounded sample of labelled texts; on the workers it runs as
 table look-ups for byte pairs.
 
-Null texts and texts without a letter are `und` with score 0. Rows with a null lang are not learned from;
-without any labelled row every text is `und`. Repeated rows and equal texts get equal results.
+Null texts and texts without a letter are `und` with score 0. Rows with a null lang are not learned from; every
+other lang value is. Without any labelled row every text is `und`. Repeated rows and equal texts get equal results.
 """
 
 from __future__ import annotations
@@ -29,11 +29,9 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
 STEP = WINDOW - max(WIDTHS) + 1  # windows overlap, so that every run of four bytes is seen once
-#: Labelled documents the network is trained on, at most about as many, and windows of each.
-SAMPLE = 6_000
+#: Labelled documents the network is trained on, about as many (but LEAST of each language), and windows of each.
+SAMPLE, LEAST = 6_000, 8
 SAMPLE_WINDOWS = 3
-#: Languages learned at most: the most frequent ones.
-LANGUAGES = 200
 
 
 @dataclass(frozen=True)
@@ -157,16 +155,22 @@ def held_out(column="doc_id") -> Column:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
-    """Fits on about `sample` labelled documents, shared evenly by the languages and chosen by a hash of the id."""
+    """Fits on about `sample` labelled documents, shared evenly by all languages and chosen by a hash of id and text.
+
+    Rows equal in id, language and text count once, so no repeated row and no repeated id fills the sample or misses it whole.
+    """
     ship_package(docs.sparkSession)
     known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    known = known.withColumn("mark", F.xxhash64("doc_id", "lang", "text", F.lit(11)))
+    counts = known.select("lang", "mark").distinct().groupBy("lang").count().orderBy("lang").collect()  # a row a language
     if not counts:
         return None
-    langs = tuple(sorted(r["lang"] for r in counts))
-    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / len(langs) / r["count"])) for r in counts], "lang string, share double")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = known.join(F.broadcast(share), "lang").where(place < F.col("share")).select("doc_id", "lang", text_bytes().alias("text"))
+    langs = tuple(r["lang"] for r in counts)
+    most = max(sample / len(langs), LEAST)
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["count"])) for r in counts], "lang string, share double")
+    place = F.pmod("mark", F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chosen = known.join(F.broadcast(share), "lang").where(place < F.col("share"))
+    chosen = chosen.groupBy("lang", "mark").agg(F.first("doc_id").alias("doc_id"), F.first(text_bytes()).alias("text")).select("doc_id", "lang", "text")
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -196,13 +196,18 @@ def held_out(column="doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on about `sample` labelled documents, chosen by a hash of the id, none of them held out."""
+    """Fits on about `sample` labelled documents, chosen by a hash of the id, none of them held out.
+
+    A label's id counts with one text: the one of the least hash, if several rows have it.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"))
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-    chosen = statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))  # bounded by the sample
+    own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # bounded by the sample
+    one = own.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), F.col("text"))).alias("t"))
+    chosen = statistics(one.select("doc_id", "label", F.col("t.text").alias("text")))
     rows = chosen.select("doc_id", "label", "statistics.*").toPandas().sort_values(["doc_id", "label"])
     return fit(rows[list(STATISTICS)].to_numpy(np.float64), rows["label"].to_numpy(np.float64))
 

@@ -83,3 +83,41 @@ def test_language_odd_rows(spark, docs, odd, clash):
     assert out[7, False][0] == "en" and out[5, False][0] == "en"
     assert langid.train(docs([])) is None
     assert langid.identify(docs([]), None).count() == 0
+
+
+def test_language_sample_with_null_and_repeated_ids(docs):
+    """Ids that are null or repeated neither empty the sample nor fill it."""
+    texts = {"en": "hello there world ", "de": "guten tag welt "}
+    pairs = [(None, f"{texts['en']}{i} " * 5) for i in range(300)] + [(7, f"{texts['de']}{i} " * 5) for i in range(300)] + [(9, texts["en"] * 9)] * 300
+    frame = docs(pairs).withColumn("lang", F.when(F.col("doc_id") == 7, "de").otherwise("en"))
+    net = langid.train(frame, 100)
+    assert net.langs == ("de", "en")
+    out = {r["text"][:5]: r["lang_pred"] for r in langid.identify(frame.dropDuplicates(["doc_id"]), net).collect()}
+    assert out == {"hello": "en", "guten": "de"}
+
+
+def test_every_language_is_learned(docs, spark):
+    rng = np.random.default_rng(2)
+    rows = [(100 * g + i, "".join(chr(0x4E00 + 4 * g + int(x)) for x in rng.integers(0, 4, 60)), f"l{g:03}") for g in range(230) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(frame, 500)
+    assert net.langs == tuple(sorted({r[2] for r in rows if not _held(r[0])}))
+    assert len(net.langs) > 200
+
+
+def _held(doc_id):
+    import zlib
+
+    return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def test_quality_sample_with_repeated_ids(spark, docs):
+    """A label's id that very many rows repeat is one row of the sample."""
+    from unittest import mock
+
+    frame = docs([(8, f"text {i}") for i in range(200)] + [(i, "other words here") for i in range(20, 60)])
+    labels = spark.createDataFrame([(8, 1, 0)] + [(i, 0, 0) for i in range(20, 60)], "doc_id long, quality int, toxic int")
+    with mock.patch.object(quality, "fit", wraps=quality.fit) as fit:
+        quality.train(frame, labels)
+    x, y = fit.call_args.args[:2]
+    assert len(x) == len(y) <= 41 and y.sum() <= 1
