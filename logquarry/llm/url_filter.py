@@ -20,7 +20,7 @@ from .common import cut
 #: Bits a listed URL, bits set in its word; the filter's size is a fixed multiple of the list's.
 BITS_PER_KEY = 24
 BITS_SET = 6
-#: Most listed URLs whose filter (3 bytes a URL) is kept in the plan; beyond it the join alone decides.
+#: Most listed URLs whose filter (3 bytes a URL) is one value of the plan; the words of a longer list's filter are joined by their numbers.
 MAX_IN_FILTER = 1_000_000
 #: Most listed URLs that are broadcast for the exact join; longer lists are shuffled, and hot keys split by the skew join.
 MAX_BROADCAST = 100_000
@@ -57,10 +57,15 @@ def word_and_mask(key: Column, words: int) -> tuple[Column, Column]:
     return word, mask
 
 
-def blocked_bloom(keys: DataFrame, words: int) -> DataFrame:
-    """One row, table: the filter's words as an array. keys has one column, key."""
+def filter_words(keys: DataFrame, words: int) -> DataFrame:
+    """(word, bits) of the words that are not zero. keys has one column, key."""
     word, mask = word_and_mask(F.col("key"), words)
-    bits = keys.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    return keys.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+
+
+def blocked_bloom(keys: DataFrame, words: int) -> DataFrame:
+    """One row, table: the filter's words as an array."""
+    bits = filter_words(keys, words)
     dense = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
     ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
     return dense.agg(F.transform(ordered, lambda w: w["bits"]).alias("table"))
@@ -84,12 +89,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     keys = F.when(F.col("host") != "", keys).otherwise(F.array().cast("array<string>"))
     # A page's first possible key always stays, so that no page is lost; the others only if the filter lets them pass.
     hits = rows.select("row", "page_id", "host", "path", F.posexplode_outer(F.array_distinct(keys)).alias("pos", "key"))
-    if 0 < n <= MAX_IN_FILTER:
+    if n:
         words = max(1, -(-n * BITS_PER_KEY // 64))
         word, mask = word_and_mask(F.col("key"), words)
-        table = blocked_bloom(listed.select("key"), words).scalar()  # an uncorrelated subquery: computed once, one value a task
-        passes = F.element_at(table, word + 1).bitwiseAND(mask) == mask
-        hits = hits.where(F.col("key").isNull() | (F.col("pos") == 0) | passes)
+        always = F.col("key").isNull() | (F.col("pos") == 0)
+        if n <= MAX_IN_FILTER:
+            table = blocked_bloom(listed.select("key"), words).scalar()  # an uncorrelated subquery: computed once, one value a task
+            hits = hits.where(always | (F.element_at(table, word + 1).bitwiseAND(mask) == mask))
+        else:  # both sides are shuffled by the word's number, and a busy word is split by the skew join
+            told = hits.withColumn("word", word).join(cut(filter_words(listed.select("key"), words)), "word", "left")
+            hits = told.where(always | (F.col("bits").bitwiseAND(mask) == mask)).drop("word", "bits")
     exact = listed.drop("path_length")
     found = hits.join(F.broadcast(exact) if n <= MAX_BROADCAST else cut(exact), "key", "left")
     best = F.max(F.when(F.col("listed_verdict").isNotNull(), F.struct(F.length("key").alias("n"), F.col("key"), F.col("listed_verdict"))))
