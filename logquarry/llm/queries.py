@@ -47,6 +47,67 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _mixed(x: int) -> int:
+    """The scrambling of 64-bit numbers, in Python's own integers."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor % 2**64
+    return x ^ x >> 31
+
+
+def _network_sql(source: str, seed: int = 0x5EED, rounds: int = 6) -> str:
+    """One pass of the Feistel network over column x of `source`, whose columns id, n and half stay."""
+    sql = f"SELECT id, n, half, x >> half AS l, x & ((1::UHUGEINT << half) - 1) AS r FROM {source}"
+    for i in range(1, rounds + 1):
+        key = _mixed(i * 0x9E3779B97F4A7C15 % 2**64 ^ seed)
+        sql = f"SELECT *, xor(r, {key}::UHUGEINT) AS y FROM ({sql})"
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            sql = f"SELECT * REPLACE ((xor(y, y >> {shift}) * {factor}::UHUGEINT) % {2**64}::UHUGEINT AS y) FROM ({sql})"
+        sql = f"SELECT id, n, half, r AS l, xor(l, xor(y, y >> 31) & ((1::UHUGEINT << half) - 1)) AS r FROM ({sql})"
+    return f"SELECT id, n, half, (l << half) | r AS x FROM ({sql})"
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    step = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)"
+    byte = "xor(c, b)"
+    for _ in range(8):
+        byte = f"list_transform([{byte}], lambda c: {step})[1]"
+    return f"xor(list_reduce([4294967295::UBIGINT] || list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS UBIGINT)), lambda c, b: {byte}), 4294967295::UBIGINT)"
+
+
+OP4_SQL = f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, CAST({_crc32_sql("coalesce(text, '')")} AS BIGINT) AS text_crc32 FROM documents
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS id, count(*) OVER () AS n FROM sized
+), walk AS (
+  SELECT id, n, CAST(greatest(1, (floor(log2(greatest(n - 1, 1))) + 2) // 2) AS UHUGEINT) AS half, id::UHUGEINT AS x, FALSE AS done FROM numbered
+  UNION ALL
+  SELECT id, n, half, x, x < n::UHUGEINT AS done FROM ({_network_sql("walk WHERE NOT done")})
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % 16 AS INTEGER) AS shard, CAST(x // 16 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM numbered JOIN (SELECT id, x FROM walk WHERE done) USING (id)
+"""
+
+
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
+), pairs AS (
+  SELECT doc_id, i, lines[i + 1] AS a, lines[i + 2] AS b FROM (SELECT doc_id, lines, unnest(range(len(lines) - 1)) AS i FROM docs)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) AS n FROM pairs) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM later, range(2) t(j)
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM docs) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines), 0) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(documents(spark, sf_dir))
 
@@ -100,4 +161,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": OP3_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_substring": OP3_SQL, "op4_sharding": OP4_SQL, "op5_linededup": OP5_SQL, "op9_url_filter": OP9_SQL}

@@ -298,6 +298,61 @@ def test_items_in_blocks_give_the_same(spark, docs, prose, monkeypatch):
     whole = sorted(map(str, decontam.find_leaks(frame, bench).collect()))
     monkeypatch.setattr(decontam.item_blocks, "__defaults__", (200,))
     assert sorted(map(str, decontam.find_leaks(frame, bench).collect())) == whole and len(whole) == 6
+    odd = frame.unionByName(frame.limit(2)).unionByName(docs([(None, None), (None, prose(3, 30)), (None, "")]))
+    assert decontam.remove_leaks(odd, bench).count() == 2 and decontam.find_leaks(odd, bench).count() == 9
+
+
+@pytest.mark.parametrize("error", [0.08, 0.2])
+def test_items_without_a_bound(error):
+    """13 to 15 bytes with one edit, higher rates, and items of under eight bytes as whole words."""
+    rng = np.random.default_rng(int(error * 100))
+    checked = 0
+    for n in (13, 14, 15, 40):
+        for seed in range(12):
+            item = rng.integers(97, 105, n).astype(np.uint8).tobytes()
+            index = decontam.Index([5], [item], error)
+            text = rng.integers(97, 105, 30).astype(np.uint8).tobytes() + edited(item, seed % (int(n * error) + 2), seed) + rng.integers(97, 105, 30).astype(np.uint8).tobytes()
+            d, found = distance(item, text), index.regions(text)
+            assert bool(found) == (d <= int(n * error)), (item, text)
+            assert not found or min(r[3] for r in found) == d
+            checked += bool(found)
+    assert checked > 20
+    short = decontam.Index([1, 2, 3], [b"abc", b"a b", b"\xc3\xa9"], error)
+    assert short.regions(b"xabc abcx abc") == [(1, 10, 13, 0)] and short.regions(b"a b abc") == [(1, 4, 7, 0), (2, 0, 3, 0)]
+    assert short.regions(b"abc") == [(1, 0, 3, 0)] and short.regions("x é".encode()) == [(3, 2, 4, 0)] and short.regions(b"") == []
+
+
+def test_repetitive_long_text_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    index = decontam.Index([1, 2], [(b"ab " * 100).strip(), b"nothing like this is in the text at all"], 0.08)
+    tracemalloc.start()
+    found = index.regions(b"ab " * 40_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20, peak
+    assert [r[0] for r in found] == [1] * len(found) and len(found) > 300 and all(r[3] == 0 for r in found)
+    text = b"x y z " * 3000 + index.items[1].replace(b"like", b"lik") + b" x y z" * 3000
+    whole = index.regions(text)
+    monkeypatch.setattr(decontam, "SLICE", 64)
+    monkeypatch.setattr(decontam, "PAIRS", 50)
+    assert index.regions(text) == whole == [(2, 18000, 18038, 1)]
+
+
+def test_short_items_in_frames(spark, docs):
+    bench = spark.createDataFrame([(1, "abc"), (2, " "), (3, None)], "item_id long, text string")
+    assert [tuple(r) for r in decontam.find_leaks(docs([(1, "abc"), (2, "abcd"), (None, None)]), bench).collect()] == [(1, 1, 0, 3, 0)]
+
+
+def test_line_and_substring_queries_match_sql(spark, duck):
+    from logquarry.llm import queries
+    from tests.conftest import SMALL
+
+    for name, sql in queries.oracle_sql().items():
+        if name in ("op4_sharding", "op5_linededup"):
+            want = duck.sql(sql)
+            got = queries.queries()[name](spark, SMALL).select(*want.columns).collect()
+            assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall())), name
 
 
 def test_substring_query_matches_sql(spark, duck):
