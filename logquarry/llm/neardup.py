@@ -37,7 +37,7 @@ BANDS, ROWS = 32, 5
 #: Bits of 128 in which the fingerprints of candidates differ at most.
 RADIUS = 44
 #: Shingles of one candidate group that one task compares with one another (twice that for a pair of blocks).
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Shingles hashed at once.
 STEP = 1024
 
@@ -219,7 +219,7 @@ def groups(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = classes.select(F.explode("keys").alias("key"), "node", "one", "two")
     shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     candidates = written(components(bucket_links(written(rows.join(shared, "key").select("key", "node", "one", "two")), RADIUS)))
-    named = classes.select("node", "size", "one", "two", F.col("first.row").alias("__row")).join(candidates, "node")
+    named = written(classes.select("node", "size", "one", "two", F.col("first.row").alias("__row")).join(candidates, "node"))  # few: texts need not be shuffled
     texts = marked.select("__row", text_bytes().alias("text"))
     members = written(named.join(texts, "__row").select(F.col("root").alias("group"), "node", "size", "one", "two", "text"))
     return classes.select("node", "first"), written(components(verified(members)))

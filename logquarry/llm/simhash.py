@@ -390,4 +390,5 @@ def one_of_each(rows: DataFrame, classes: DataFrame, node: str, roots: DataFrame
     """Of each group the first row, without the helping columns. classes: (node, first); roots: (node, root) where they differ."""
     rooted = classes.join(roots.select(F.col("node").alias(node), "root"), node, "left").groupBy(F.coalesce("root", node).alias("root"))
     kept = rooted.agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return rows.join(written(kept), "__row", "left_semi").drop(*[c for c in rows.columns if c.startswith("__")])
+    gone = written(rows.select("__row").join(kept, "__row", "left_anti"))  # fewer than those that stay
+    return rows.join(gone, "__row", "left_anti").drop(*[c for c in rows.columns if c.startswith("__")])
