@@ -10,9 +10,9 @@ k-mers always meet under equal minimizers and a nonbranching stretch of a path t
    where it has several, the path branches, and a join with those minimizers opens the first run of each form.
 3. Only opened runs become single k-mers, joined by their hash with the first place of each.
 4. Repeats of one document that follow each other as their sources do compact to one path with one source.
-5. Every path is verified at its source's coordinates: the source's words, in blocks of BLOCK words, are joined to the
-   path and compared word by word with the document's own before anything is removed. If a single comparison fails
-   (equal hashes of other words), the whole run is done again with other hashes; so the result never rests on a hash.
+5. Every path is verified at its source's coordinates: cut at every BLOCK words of the source, the words at each of the
+   two places are read from the two texts and their digests (BLAKE2b, 128 bits) compared before anything is removed. If
+   a single comparison fails (equal 64-bit hashes of other words), the whole run is done again with other hashes.
 
 Every first place is a minimum that is combined on the map side, and every join has plain exchanges that the adaptive
 skew join can split. Before each exchange a batch resolves its own repeats, so a passage that a third of all rows
@@ -32,6 +32,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package
@@ -41,7 +42,7 @@ from .packing import slices
 #: Words of a minimizer.
 M = 5
 #: Words of a block of a source, by which paths are verified.
-BLOCK = 32
+BLOCK = 64
 #: Text that is taken at once.
 SLICE = 8 << 20
 OPEN, REPEAT, SELF = 0, 1, 2  # a row still to be compared; settled; to be opened in any case
@@ -166,14 +167,37 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     keyed = docs.select(doc_key().alias("doc"), text_bytes().alias("text"))
     marked = keyed.select("doc", F.xxhash64("text").alias("mark")).groupBy("doc").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
     several = written(marked.where("low <> high").select("doc"))
-    if several.isEmpty():
-        return keyed.select("doc", F.lit(0).cast("long").alias("mark"), "text")
+    if several.isEmpty():  # zero, but no literal: joins and groupings by (doc, mark) then share one exchange
+        return keyed.select("doc", F.col("doc").bitwiseAND(F.lit(0).cast("long")).alias("mark"), "text")
     told = keyed.join(several.withColumn("several", F.lit(True)), "doc", "left")
     return told.select("doc", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("mark"), "text")
 
 
+def packed_texts(keyed: DataFrame) -> DataFrame:
+    """keyed with its texts compressed: they are shuffled once, and a shuffle's own codec leaves words as long as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([small.compress(t) for t in b.column(2).to_pylist()], pa.binary())], ["doc", "mark", "text"])
+
+    ship_package(keyed.sparkSession)
+    packed = keyed.mapInArrow(run, "doc long, mark long, text binary")
+    return packed.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("doc", "mark")], "text")  # never null: joins add no filter, and share one exchange
+
+
+def unpacked(texts: list[bytes]) -> list[bytes]:
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor()
+    return [whole.decompress(t) for t in texts]
+
+
 RUNS = "low long, content long, doc long, mark long, first int, size int, state byte, src_doc long, src_mark long, src_first int"
-EDGES = "one long, doc long, mark long, start int, n int, src_doc long, src_mark long, src_start int, settled boolean"
+#: src_start is -1 for a k-mer that is not settled.
+EDGES = "one long, doc long, mark long, start int, src_doc long, src_mark long, src_start int"
 PIECES = "doc long, mark long, start int, length int, src_doc long, src_mark long, block int, offset int"
 
 
@@ -184,9 +208,11 @@ def _batch(ddl: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a.cast(types[t]) for a, (_, t) in zip(arrays, fields, strict=True)], [name for name, _ in fields])
 
 
-def pieces(keyed: DataFrame, k: int, seed: int, hash_of: Callable[[bytes, int], int]) -> DataFrame:
+def pieces(keyed: DataFrame, packed: DataFrame, k: int, seed: int, hash_of: Callable[[bytes, int], int]) -> DataFrame:
     """Words to remove, by places (PIECES): length words from start repeat those from offset of a block of the source.
 
+    packed: keyed with compressed texts.
+
     A word is to be removed if a window over it holds the words of an earlier window: one of an earlier document, or
     of the same document at an earlier place.
     """
@@ -222,37 +248,38 @@ def pieces(keyed: DataFrame, k: int, seed: int, hash_of: Callable[[bytes, int],
     firsts = live.groupBy("content").agg(F.min(at).alias("source"))
     told = live.join(firsts, "content").join(branching, "low", "left")
     told = told.withColumn("state", F.when(at != F.col("source"), REPEAT).when(F.col("branches") | (F.col("state") == SELF), OPEN)).where("state is not null")
-    run = [F.col("first"), F.col("size"), F.col("state").cast("byte").alias("state")]
-    told = told.select("doc", "mark", *run, F.col("source.doc").alias("src_doc"), F.col("source.mark").alias("src_mark"), F.col("source.first").alias("src_first"))
-    told = told.unionByName(rows.where(F.col("state") == REPEAT).select("doc", "mark", *run, "src_doc", "src_mark", "src_first"))
-    told = told.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "size", "state", "src_doc", "src_mark", "src_first")).alias("runs"))  # a document's own
+    told = written(told)
+    source = [F.col(f"source.{c}").alias(f"src_{n}") for c, n in (("doc", "doc"), ("mark", "mark"), ("first", "start"))]
+    whole = told.where(F.col("state") == REPEAT).select("doc", "mark", F.col("first").alias("start"), F.col("size").alias("n"), *source)
+    settled = rows.where(F.col("state") == REPEAT).select("doc", "mark", F.col("first").alias("start"), F.col("size").alias("n"), "src_doc", "src_mark", F.col("src_first").alias("src_start"))
+    wide = told.where(F.col("state") == OPEN).groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "size")).alias("runs"))  # a document's own
 
     def open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, marks, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            docs, marks, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), unpacked(b.column(2).to_pylist())
             offsets, fields = _lists(b.column(3))
             for lo, hi in slices(texts, SLICE):
                 words, starts = word_hashes(texts[lo:hi], seed, hash_of)
                 text = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
-                first, size, state, *source = (x[offsets[lo] : offsets[hi]].astype(np.int64) for x in fields)
-                done = state == REPEAT
-                wide = np.repeat(np.flatnonzero(~done), size[~done])
-                place = first[wide] + np.arange(len(wide)) - np.repeat(np.cumsum(size[~done]) - size[~done], size[~done])
-                one = Hashes(words, BASES[0]).runs(starts[text[wide]] + place, k)
+                first, size = (x[offsets[lo] : offsets[hi]].astype(np.int64) for x in fields)
+                run = np.repeat(np.arange(len(first)), size)
+                place = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+                text = text[run]
+                one = Hashes(words, BASES[0]).runs(starts[text] + place, k)
                 doc, mark = docs[lo:hi][text], marks[lo:hi][text]
-                low, later = settle((doc[wide], mark[wide], place), (one,))
-                inner = [x[wide][low] for x in (doc, mark)] + [place[low]]
-                one = np.where(later, mix64(one ^ mix64(doc[wide].view(np.uint64) ^ place.astype(np.uint64))), one)
-                spread = mix64(doc[done].view(np.uint64) ^ mix64(first[done].astype(np.uint64)))
-                both = [np.concatenate(p) for p in zip((spread, doc[done], mark[done], first[done], size[done], *(x[done] for x in source), np.ones(done.sum(), bool)), (one, doc[wide], mark[wide], place, np.ones(len(wide), np.int64), *inner, later), strict=True)]
-                yield _batch(EDGES, _signed(both[0]), *both[1:])
-
-    opened = keyed.join(told, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(open_runs, EDGES)
-    at = F.struct("doc", "mark", "start")
-    firsts = opened.where("not settled").groupBy("one").agg(F.min(at).alias("source"), F.max(at).alias("last")).where("source <> last").select("one", "source")
-    edges = opened.join(firsts, "one", "left").where(F.col("settled") | (at != F.col("source")))
-    own = [F.when(F.col("settled"), F.col(f"src_{c}")).otherwise(F.col(f"source.{c}")).alias(f"src_{c}") for c in ("doc", "mark", "start")]
-    repeats = edges.select("doc", "mark", "start", "n", *own).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_mark", "src_start")).alias("repeats"))
+                low, later = settle((doc, mark, place), (one,))
+                told = [np.where(later, x[low], 0) for x in (doc, mark)] + [np.where(later, place[low], -1)]
+                one = np.where(later, mix64(one ^ mix64(doc.view(np.uint64) ^ place.astype(np.uint64))), one)
+                yield _batch(EDGES, _signed(one), doc, mark, place, *told)
+
+    opened = packed.join(wide, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(open_runs, EDGES)
+    # A batch names each k-mer once, so one k-mer has at most one row a slice of text, however many documents share it.
+    is_settled = F.col("src_start") >= 0
+    first = F.first(F.struct("doc", "mark", "start")).over(W.partitionBy("one", is_settled).orderBy("doc", "mark", "start"))
+    edges = opened.withColumn("source", first).where(is_settled | (F.struct("doc", "mark", "start") != F.col("source")))
+    own = [F.when(is_settled, F.col(f"src_{c}")).otherwise(F.col(f"source.{c}")).alias(f"src_{c}") for c in ("doc", "mark", "start")]
+    edges = edges.select("doc", "mark", "start", F.lit(1).alias("n"), *own).unionByName(whole).unionByName(settled)
+    repeats = edges.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "n", "src_doc", "src_mark", "src_start")).alias("repeats"))
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,20 +298,31 @@ def pieces(keyed: DataFrame, k: int, seed: int, hash_of: Callable[[bytes, int],
     return repeats.mapInArrow(paths, PIECES)
 
 
-def source_words(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """(src_doc, src_mark, block, words) of the blocks that pieces name, the words joined by one space."""
-    needed = found.select("src_doc", "src_mark", "block").distinct().groupBy(F.col("src_doc").alias("doc"), F.col("src_mark").alias("mark")).agg(F.collect_list("block").alias("blocks"))
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def source_digests(packed: DataFrame, found: DataFrame) -> DataFrame:
+    """(src_doc, src_mark, block, offset, length, digest) of the sources' words that pieces name."""
+    ddl = "src_doc long, src_mark long, block int, offset int, length int, digest binary"
+    names = ["src_doc", "src_mark", "block", "offset", "length"]
+    wanted = F.collect_list(F.struct("block", "offset", "length"))  # parts of blocks: bounded by the source's own length
+    needed = found.select(*names).distinct().groupBy(F.col("src_doc").alias("doc"), F.col("src_mark").alias("mark")).agg(wanted.alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            docs, marks, texts, lists = (c.to_pylist() for c in b.columns)
             rows = []
-            for doc, mark, text, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, mark, text, parts in zip(docs, marks, unpacked(texts), lists, strict=True):
                 words = text.split()
-                rows += [(doc, mark, i, b" ".join(words[i * BLOCK : (i + 1) * BLOCK])) for i in blocks]
-            yield _batch("src_doc long, src_mark long, block int, words binary", *(pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))))
+                for p in parts:
+                    start = p["block"] * BLOCK + p["offset"]
+                    rows.append((doc, mark, p["block"], p["offset"], p["length"], digest(words[start : start + p["length"]])))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield _batch(ddl, *(pa.array([r[j] for r in rows], t) for j, t in enumerate(types)))
 
-    cuts = keyed.join(needed, ["doc", "mark"]).select("doc", "mark", "text", "blocks").mapInArrow(cut, "src_doc long, src_mark long, block int, words binary")
-    return cuts.groupBy("src_doc", "src_mark", "block").agg(F.first("words").alias("words"))  # rows that are equal give theirs once
+    cuts = packed.join(needed, ["doc", "mark"]).select("doc", "mark", "text", "parts").mapInArrow(run, ddl)
+    return cuts.groupBy(*names).agg(F.first("digest").alias("digest"))  # rows that are equal give theirs once
 
 
 def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -304,24 +342,20 @@ def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, byt
 
 def verified_spans(words: list[bytes], marks: list[dict]) -> list[tuple[int, int]] | None:
     """The spans of a document whose words are those at their source's coordinates; None if some are not."""
-    spans = []
-    for m in marks:
-        a, n, offset, source = m["start"], m["length"], m["offset"], m["words"]
-        if source is None or words[a : a + n] != source.split()[offset : offset + n]:
-            return None
-        spans.append((a, a + n))
-    return spans
-
-
-def _result(keyed: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
-    checked = found.join(source_words(keyed, found), ["src_doc", "src_mark", "block"], "left")
-    cuts = checked.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "length", "offset", "words")).alias("cuts"))
+    if any(digest(words[m["start"] : m["start"] + m["length"]]) != m["digest"] for m in marks):
+        return None
+    return [(m["start"], m["start"] + m["length"]) for m in marks]
+
+
+def _result(packed: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
+    checked = found.join(source_digests(packed, found), ["src_doc", "src_mark", "block", "offset", "length"], "left")
+    cuts = checked.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "length", "digest")).alias("cuts"))
     ddl = "doc long, n_words long, n_removed long, kept_sha256 string, verified boolean" + ", kept string" * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, marks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, marks in zip(unpacked(b.column(1).to_pylist()), b.column(2).to_pylist(), strict=True):
                 spans = verified_spans(text.split(), marks) if marks else []
                 n, gone, kept = kept_words(text, spans or [])
                 rows.append((n, gone, hashlib.sha256(kept).hexdigest(), spans is not None, *[kept.decode("utf-8", "replace")] * with_text))
@@ -329,14 +363,15 @@ def _result(keyed: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
             cols = [pa.array([r[j] for r in rows], types[j]) for j in range(4 + with_text)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc", "n_words", "n_removed", "kept_sha256", "verified", "kept"][: 5 + with_text])
 
-    return keyed.join(cuts, ["doc", "mark"], "left").select("doc", "text", "cuts").mapInArrow(cut, ddl)
+    return packed.join(cuts, ["doc", "mark"], "left").select("doc", "text", "cuts").mapInArrow(cut, ddl)
 
 
 def dedup(docs: DataFrame, k: int = 20, with_text: bool = False, hash_of: Callable[[bytes, int], int] = word_hash) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row; kept too if with_text."""
     keyed, seed = keyed_texts(docs), 0
+    packed = packed_texts(keyed)
     while True:
-        out = written(_result(keyed, pieces(keyed, k, seed, hash_of), with_text))
+        out = written(_result(packed, pieces(keyed, packed, k, seed, hash_of), with_text))
         if out.where("not verified").isEmpty():
             break
         seed += 1  # equal hashes of other words: all again with other hashes
