@@ -44,7 +44,7 @@ M = 5
 #: Words of a block of a source, by which paths are verified.
 BLOCK = 64
 #: Text that is taken at once.
-SLICE = 8 << 20
+SLICE = 2 << 20
 OPEN, REPEAT, SELF = 0, 1, 2  # a row still to be compared; settled; to be opened in any case
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
