@@ -128,8 +128,10 @@ def repeated(docs: DataFrame, by: str = CHUNKS, hash_of: Callable[[bytes], int]
     found = keyed.join(marked, ["doc", "mark"]).select("doc", "mark", "text", "marks")
     found = written(found.mapInArrow(bodies, "hash long, doc long, mark long, place int, is_first boolean, body binary"))
     source = found.where("is_first").groupBy("hash").agg(F.first("body").alias("source"))
-    later = found.where("not is_first").join(written(source), "hash").withColumn("same", F.col("body") == F.col("source"))
-    other = later.where("not same").select("hash", "doc", "mark", "place", "body")  # equal hashes of other bytes: held against each other by their bytes
+    told = found.where("not is_first").join(written(source), "hash").withColumn("same", F.col("body") == F.col("source"))
+    only = [F.when(~F.col("same"), F.col(c)).alias(c) for c in ("hash", "body")]
+    later = written(told.select("doc", "mark", "place", "same", *only))  # small: bodies of colliding hashes only
+    other = later.where("not same")  # equal hashes of other bytes: held against each other by their bytes
     own = other.groupBy("hash", "body").agg(F.min(at).alias("first")).alias("o")
     again = other.alias("r").join(own, F.expr("r.hash = o.hash AND r.body = o.body")).select("r.doc", "r.mark", "r.place", "o.first")
     gone = later.where("same").select("doc", "mark", "place").unionByName(again.where(at != F.col("first")).select("doc", "mark", "place"))

@@ -216,9 +216,11 @@ def groups(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
         first_row().alias("first"), *[F.first(f"__{c}").alias(c) for c in ("size", "keys", "one", "two")]
     )
     classes = written(of_class)
-    rows = classes.select(F.explode("keys").alias("key"), "node", "one", "two")
+    rows = classes.select(F.explode("keys").alias("key"), "node")
     shared = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    candidates = written(components(bucket_links(written(rows.join(shared, "key").select("key", "node", "one", "two")), RADIUS)))
+    live = written(rows.join(shared, "key"))  # keys and nodes only: fingerprints follow for the nodes that are left
+    known = classes.join(written(live.select("node").distinct()), "node", "left_semi").select("node", "one", "two")
+    candidates = written(components(bucket_links(written(live.join(written(known), "node").select("key", "node", "one", "two")), RADIUS)))
     named = written(classes.select("node", "size", "one", "two", F.col("first.row").alias("__row")).join(candidates, "node"))  # few: texts need not be shuffled
     texts = marked.select("__row", text_bytes().alias("text"))
     members = written(named.join(texts, "__row").select(F.col("root").alias("group"), "node", "size", "one", "two", "text"))
