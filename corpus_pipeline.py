@@ -31,7 +31,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by five-word shingles of similarity 0.8 the document of the smallest id stays."""
+    """Of each group of texts linked by five-word shingles of similarity 0.8 one document stays: that of the smallest id.
+
+    Fingerprints of 128 bits are compared by bit planes inside buckets; links are confirmed exactly.
+    """
     return neardup.keep_first(docs).select(*COLUMNS)
 
 

@@ -26,6 +26,9 @@ class Config:
     precision: int = 14
     top_n: int = 20
     geo: str | None = None
+    #: Stored bytes of a batch of a run, and of a range that one task reads.
+    batch_bytes: int = 256 << 30
+    range_bytes: int = 128 << 20
 
     def options(self) -> Options:
         return Options(self.drop_bots, self.site_host, self.urls, self.hosts, self.refs, self.precision, self.top_n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,3 +96,33 @@ def status_colour(status: Column, index: Column) -> Column:
 def use_compact(precision: int) -> bool:
     """Whether an estimate of this sketch precision is shown with three figures only."""
     return 1.04 / 2 ** (precision / 2) > 0.001
+
+
+def estimate_text(n: Column, precision: int) -> Column:
+    """An estimated count as pages show it: three figures where the sketch is not exact enough for more."""
+    return compact(n) if use_compact(precision) else thousands(n)
+
+
+def byte_text(n: int) -> str:
+    """byte_size() of one number."""
+    units = ((1, "KB", 1), (2, "MB", 1), (3, "GB", 2), (4, "TB", 2), (5, "PB", 2))
+    if n < 1024:
+        return f"{n} B"
+    power, unit, digits = next((u for u in units if n < 1024 ** (u[0] + 1)), units[-1])
+    return f"{n / 1024**power:.{digits}f} {unit}"
+
+
+def compact_text(n: int) -> str:
+    """compact() of one number."""
+    if n < 1000:
+        return str(n)
+    value, unit = float(n), 0
+    while value >= 1000 and unit < 4:
+        value, unit = value / 1000, unit + 1
+    for _ in range(2):
+        digits = 0 if value >= 100 else 1 if value >= 10 else 2
+        value = float(Decimal(repr(value)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+        if value < 1000 or unit == 4:
+            break
+        value, unit = value / 1000, unit + 1
+    return f"{value:.2f}".rstrip("0").rstrip(".") + ("", "k", "m", "b", "t")[unit]

@@ -28,6 +28,19 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def long_enough(value: Column) -> Column:
+    """At least 30 bytes with the newline: shorter lines cannot be well-formed."""
+    return F.octet_length(value) + 1 >= 30
+
+
+def printable(value: Column) -> Column:
+    return value.rlike("^[ -~]*$")
+
+
+def well_formed(value: Column) -> Column:
+    return F.size(split_line(value)) == len(FIELDS)
+
+
 def split_line(value: Column) -> Column:
     """The nine fields as an array; any other size means that the line is malformed."""
     marked = F.regexp_replace(value, F.lit(LINE_PATTERN), F.lit(_SEPARATOR.join(f"${i}" for i in range(1, len(FIELDS) + 1))))

@@ -64,3 +64,14 @@ def line_counts(lines: DataFrame) -> DataFrame:
         F.count("*").alias("lines"), F.count_if("parsed").alias("parsed"), F.count_if(F.col("dated")).alias("dated"),
         F.count_if(F.col("dated") & F.col("bot")).alias("bots"), F.count_if(F.col("dated") & ~F.col("bot")).alias("kept"),
     )
+
+
+def length_classes(lines: DataFrame) -> DataFrame:
+    """(long_enough, n)"""
+    return lines.groupBy(parsing.long_enough(F.col("value")).alias("long_enough")).agg(F.count("*").alias("n"))
+
+
+def character_counts(lines: DataFrame) -> DataFrame:
+    """One row: lines, those of printable ASCII only, those that parse."""
+    value = F.col("value")
+    return lines.agg(F.count("*").alias("lines"), F.count_if(parsing.printable(value)).alias("printable"), F.count_if(parsing.well_formed(value)).alias("parsed"))

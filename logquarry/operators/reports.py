@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fmt
 from ..schema import COUNTERS, UNKNOWN_COUNTRY
+from . import topk
 
 
 def _sums(names=(*COUNTERS, "sites")):
@@ -108,3 +109,20 @@ def chart_data(days: DataFrame) -> DataFrame:
     rows = days.groupBy(F.substring("date", 1, 7).alias("month")).agg(F.array_sort(F.collect_list(F.struct("date", "hits"))).alias("rows"))
     labels = F.transform("rows", lambda r: fmt.day_label(r["date"]))
     return rows.select("month", F.array_join(labels, ",").alias("labels"), F.array_join(F.transform("rows", lambda r: r["hits"].cast("string")), ",").alias("hits"))
+
+
+def share_data(counts: DataFrame, key: str, n: int) -> DataFrame:
+    """(grain, period, labels, hits) of a share chart: the n most frequent keys with their percent, and Other, in their order."""
+    rows = topk.head_and_other(counts, key, n)
+    text = F.concat(F.col("label"), F.lit(" ("), F.format_string("%.1f", F.col("percent")), F.lit("%)"))
+    listed = rows.groupBy("grain", "period").agg(F.array_sort(F.collect_list(F.struct("position", text.alias("text"), "hits"))).alias("rows"))  # n + 1 at most
+    return listed.select("grain", "period", F.array_join(F.transform("rows", lambda r: r["text"]), ",").alias("labels"), F.array_join(F.transform("rows", lambda r: r["hits"].cast("string")), ",").alias("hits"))
+
+
+def activity_data(days: DataFrame) -> DataFrame:
+    """(month, labels, hits, pages, files, megabytes) of an activity chart, in the order of the days, at most 31 of each."""
+    fields = ("hits", "pages", "files")
+    size = F.format_string("%.2f", fmt.megabytes(F.col("bandwidth"))).alias("megabytes")
+    rows = days.groupBy(F.substring("date", 1, 7).alias("month")).agg(F.array_sort(F.collect_list(F.struct("date", *[F.col(c).cast("string").alias(c) for c in fields], size))).alias("rows"))
+    series = [F.array_join(F.transform("rows", lambda r: r[c]), ",").alias(c) for c in (*fields, "megabytes")]
+    return rows.select("month", F.array_join(F.transform("rows", lambda r: fmt.day_label(r["date"])), ",").alias("labels"), *series)

@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import UNKNOWN_COUNTRY
+from ..schema import COUNTERS, UNKNOWN_COUNTRY, VISIT_SECONDS
+
+
+def _counters() -> list:
+    """Sums over a group of hits, visits apart."""
+    cls, content = F.col("status_class"), F.col("content")
+    return [
+        F.count("*").alias("hits"), F.count_if(content == "file").alias("files"), F.count_if(content == "page").alias("pages"),
+        F.sum("bytes").alias("bandwidth"), *[F.count_if(cls == c).alias(f"status_{c}") for c in ("2xx", "3xx", "4xx", "5xx")],
+    ]
 
 
 def hourly(marked: DataFrame) -> DataFrame:
@@ -14,17 +24,33 @@ def hourly(marked: DataFrame) -> DataFrame:
     Distinct visitors come from a first grouping by (date, hour, ip): every sum is partial before the shuffle,
     and a busy hour is spread over its visitors.
     """
+    per_ip = marked.groupBy("date", "hour", "ip").agg(*_counters(), F.sum(F.col("new_visit").cast("long")).alias("visits"))
+    return per_ip.groupBy("date", "hour").agg(*[F.sum(n).alias(n) for n in COUNTERS], F.count("*").alias("sites"))
 
-    def total(condition):
-        return F.sum(condition.cast("long"))
 
-    cls, content = F.col("status_class"), F.col("content")
-    per_ip = marked.groupBy("date", "hour", "ip").agg(
-        F.count("*").alias("hits"), total(F.col("new_visit")).alias("visits"), F.count_if(content == "file").alias("files"), F.count_if(content == "page").alias("pages"),
-        F.sum("bytes").alias("bandwidth"), *[F.count_if(cls == c).alias(f"status_{c}") for c in ("2xx", "3xx", "4xx", "5xx")],
+def hourly_of(hits: DataFrame, state: DataFrame | None = None, slot_seconds: int = 3600) -> DataFrame:
+    """hourly() of hits whose visits are not marked yet, in one pass over them.
+
+    Gaps inside a time slot come from a window over (ip, slot), so that a busy visitor is spread over time. Hits are
+    then grouped by (ip, slot, date, hour); whether a slot's first hit starts a visit is decided on these groups, of
+    which a visitor has a few an hour, in a window over the slots before.
+    """
+    slot = F.floor(F.col("ts") / slot_seconds).alias("slot")
+    rows = hits.select("ip", "id", "ts", "date", "hour", "bytes", "status_class", "content", slot)
+    before = F.lag("ts").over(W.partitionBy("ip", "slot").orderBy("ts", "id"))
+    gap = rows.withColumn("before", before)
+    groups = gap.groupBy("ip", "slot", "date", "hour").agg(
+        *_counters(), F.count_if(F.col("ts") - F.col("before") > VISIT_SECONDS).alias("inner"),
+        F.min(F.when(F.col("before").isNull(), F.col("ts"))).alias("first"), F.max("ts").alias("last"),
     )
-    names = ("hits", "visits", "files", "pages", "bandwidth", "status_2xx", "status_3xx", "status_4xx", "status_5xx")
-    return per_ip.groupBy("date", "hour").agg(*[F.sum(n).alias(n) for n in names], F.count("*").alias("sites"))
+    seen = F.max("last").over(W.partitionBy("ip").orderBy("slot").rangeBetween(W.unboundedPreceding, -1))
+    groups = groups.withColumn("seen", seen)
+    if state is not None:
+        groups = groups.join(state.select("ip", "last_seen"), "ip", "left").withColumn("seen", F.coalesce("seen", "last_seen"))
+    starts = F.col("first").isNotNull() & (F.col("seen").isNull() | (F.col("first") - F.col("seen") > VISIT_SECONDS))
+    counted = groups.withColumn("visits", F.col("inner") + starts.cast("long"))
+    per_ip = counted.groupBy("date", "hour", "ip").agg(*[F.sum(n).alias(n) for n in COUNTERS])
+    return per_ip.groupBy("date", "hour").agg(*[F.sum(n).alias(n) for n in COUNTERS], F.count("*").alias("sites"))
 
 
 def periods(hits: DataFrame, keys: list[str], sums: dict[str, str] | None = None) -> DataFrame:
@@ -34,21 +60,32 @@ def periods(hits: DataFrame, keys: list[str], sums: dict[str, str] | None = None
     """
     sums = sums or {}
     month = hits.groupBy(F.col("month").alias("period"), *keys).agg(F.count("*").alias("hits"), *[F.sum(c).alias(n) for n, c in sums.items()])
-    both = month.select(F.explode(F.array(F.struct(F.lit("month").alias("grain"), "period"), F.struct(F.lit("year").alias("grain"), F.substring("period", 1, 4).alias("period")))).alias("p"), *keys, "hits", *sums)
-    return both.groupBy("p.grain", "p.period", *keys).agg(F.sum("hits").alias("hits"), *[F.sum(n).alias(n) for n in sums])
+    both = _both_grains(month, F.col("period"), *keys, "hits", *sums)
+    return both.groupBy("grain", "period", *keys).agg(F.sum("hits").alias("hits"), *[F.sum(n).alias(n) for n in sums])
+
+
+def _both_grains(months: DataFrame, month, *columns: str) -> DataFrame:
+    """Each row of a month once as such and once for its year."""
+    year = F.substring(month, 1, 4)
+    grains = F.array(F.struct(F.lit("month").alias("grain"), month.alias("period")), F.struct(F.lit("year").alias("grain"), year.alias("period")))
+    return months.select(F.explode(grains).alias("p"), *columns).select("p.grain", "p.period", *columns)
 
 
 def url_counts(hits: DataFrame) -> DataFrame:
     return periods(hits, ["url"], {"bandwidth": "bytes"})
 
 
-def host_counts(hits: DataFrame) -> DataFrame:
-    """With the country of each host: a known one wins over the unknown."""
+def address_counts(hits: DataFrame) -> DataFrame:
+    """(month, ip, hits, bytes): what countries are joined to, once an address and month instead of once a hit."""
+    return hits.groupBy("month", "ip").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+def host_counts(located: DataFrame) -> DataFrame:
+    """(grain, period, ip, hits, bandwidth, country_code) of located address counts: a known country wins over the unknown."""
     known = F.when(F.col("country_code") != UNKNOWN_COUNTRY[0], F.col("country_code"))
-    month = hits.groupBy(F.col("month").alias("period"), "ip").agg(F.count("*").alias("hits"), F.sum("bytes").alias("bandwidth"), F.max(known).alias("cc"))
-    year = month.groupBy(F.substring("period", 1, 4).alias("period"), "ip").agg(F.sum("hits").alias("hits"), F.sum("bandwidth").alias("bandwidth"), F.max("cc").alias("cc"))
-    both = month.withColumn("grain", F.lit("month")).unionByName(year.withColumn("grain", F.lit("year")))
-    return both.select("grain", "period", "ip", "hits", "bandwidth", F.coalesce("cc", F.lit(UNKNOWN_COUNTRY[0])).alias("country_code"))
+    both = _both_grains(located.select("month", "ip", "n", "bytes", known.alias("cc")), F.col("month"), "ip", "n", "bytes", "cc")
+    summed = both.groupBy("grain", "period", "ip").agg(F.sum("n").alias("hits"), F.sum("bytes").alias("bandwidth"), F.max("cc").alias("cc"))
+    return summed.select("grain", "period", "ip", "hits", "bandwidth", F.coalesce("cc", F.lit(UNKNOWN_COUNTRY[0])).alias("country_code"))
 
 
 def referrer_counts(hits: DataFrame, site_host: str | None = None) -> DataFrame:
@@ -63,8 +100,11 @@ def agent_counts(hits: DataFrame) -> DataFrame:
     return periods(hits, ["family"])
 
 
-def country_counts(hits: DataFrame) -> DataFrame:
-    return periods(hits, ["country_code"])
+def country_counts(located: DataFrame) -> DataFrame:
+    """(grain, period, country_code, hits) of located address counts."""
+    months = located.groupBy("month", "country_code").agg(F.sum("n").alias("n"))
+    both = _both_grains(months, F.col("month"), "country_code", "n")
+    return both.groupBy("grain", "period", "country_code").agg(F.sum("n").alias("hits"))
 
 
 def status_counts(hits: DataFrame) -> DataFrame:
@@ -79,13 +119,23 @@ def protocol_counts(hits: DataFrame) -> DataFrame:
     return periods(hits, ["proto"])
 
 
+def daily_visitors(hits: DataFrame) -> DataFrame:
+    """(date, ip), each once."""
+    return hits.select("date", "ip").distinct()
+
+
+def distinct_hosts(hits: DataFrame) -> DataFrame:
+    """(ip), each once."""
+    return hits.select("ip").distinct()
+
+
 def distinct_sites(hits: DataFrame) -> DataFrame:
     """(grain, period, sites): exact distinct visitors by day, month, year and in all."""
     grains = F.array(
         F.struct(F.lit("day").alias("grain"), F.col("date").alias("period")), F.struct(F.lit("month").alias("grain"), F.substring("date", 1, 7).alias("period")),
         F.struct(F.lit("year").alias("grain"), F.substring("date", 1, 4).alias("period")), F.struct(F.lit("all").alias("grain"), F.lit("__all__").alias("period")),
     )
-    days = hits.select("date", "ip").distinct()  # smaller than the hits before they are fanned out
+    days = daily_visitors(hits)  # smaller than the hits before they are fanned out
     return days.select(F.explode(grains).alias("g"), "ip").select("g.grain", "g.period", "ip").distinct().groupBy("grain", "period").agg(F.count("*").alias("sites"))
 
 

@@ -13,6 +13,24 @@ def additive(old: DataFrame, new: DataFrame, keys: list[str], sums: list[str]) -
     return old.unionByName(new).groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in sums])
 
 
+def union_all(*parts: DataFrame) -> DataFrame:
+    """Live and archived rows together, repeats included."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def distinct_union(*parts: DataFrame) -> DataFrame:
+    """Rows of all parts, each once."""
+    return union_all(*parts).distinct()
+
+
+def distinct_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys' combinations, each once."""
+    return rows.select(*keys).dropDuplicates()
+
+
 def maximum(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
     return old.unionByName(new).groupBy(*keys).agg(F.max(value).alias(value))
 

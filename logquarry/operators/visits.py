@@ -9,35 +9,19 @@ from pyspark.sql import functions as F
 from ..schema import VISIT_SECONDS
 
 
-def mark_visits(hits: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def mark_visits(hits: DataFrame, state: DataFrame | None = None, slot_seconds: int = 3600) -> DataFrame:
     """Adds new_visit: no earlier hit of the ip, or a gap of more than VISIT_SECONDS.
 
-    Hits count in the order of their time; state (ip, last_seen) continues earlier runs. One window over ip:
-    its exchange is the only one, and it carries a visitor's hits in time order with spilling.
-    """
-    by_ip = W.partitionBy("ip").orderBy("ts", "id")
-    before = F.lag("ts").over(by_ip)
-    if state is not None:
-        hits = hits.join(state.select("ip", F.col("last_seen").alias("__seen")), "ip", "left")
-        before = F.coalesce(before, F.col("__seen"))
-    out = hits.withColumn("__before", before)
-    out = out.withColumn("new_visit", F.col("__before").isNull() | (F.col("ts") - F.col("__before") > VISIT_SECONDS))
-    return out.drop("__before", "__seen")
-
-
-def mark_visits_split(hits: DataFrame, state: DataFrame | None = None, slot_seconds: int = 3600) -> DataFrame:
-    """mark_visits() for inputs where one visitor may hold a large share of all hits.
-
-    A visitor's hits are split into time slots: gaps inside a slot come from a window over (ip, slot), and only
-    each slot's first hit looks back, to the last hit of the visitor's slot before, found in a window over
-    one row a slot. Reads hits twice: persist them first.
+    Hits count in the order of their time; state (ip, last_seen) continues earlier runs. One visitor may hold a large
+    share of all hits, so hits are split into time slots: gaps inside a slot come from a window over (ip, slot), and
+    only each slot's first hit looks back, to the last hit of the visitor's slot before, found in a window over one
+    row a slot. Reads hits twice: persist them first. `rollup.hourly_of` needs no such rows and reads once.
     """
     slot = F.floor(F.col("ts") / slot_seconds)
     rows = hits.withColumn("__slot", slot)
     rows = rows.withColumn("__before", F.lag("ts").over(W.partitionBy("ip", "__slot").orderBy("ts", "id")))
     ends = hits.groupBy("ip", slot.alias("__slot")).agg(F.max("ts").alias("__last"))
-    seen = F.lag("__last").over(W.partitionBy("ip").orderBy("__slot"))
-    ends = ends.withColumn("__seen", seen)
+    ends = ends.withColumn("__seen", F.lag("__last").over(W.partitionBy("ip").orderBy("__slot")))
     if state is not None:
         ends = ends.join(state.select("ip", "last_seen"), "ip", "left").withColumn("__seen", F.coalesce("__seen", "last_seen"))
     out = rows.join(ends.select("ip", "__slot", "__seen"), ["ip", "__slot"], "left").withColumn("__before", F.coalesce("__before", "__seen"))
@@ -45,11 +29,36 @@ def mark_visits_split(hits: DataFrame, state: DataFrame | None = None, slot_seco
     return out.select(*hits.columns, "new_visit")
 
 
-def arrival_visits(hits: DataFrame) -> DataFrame:
-    """The same against the running maximum in arrival order (id): an older hit never starts a visit."""
-    earlier = W.partitionBy("ip").orderBy("id").rowsBetween(W.unboundedPreceding, -1)
-    top = F.max("ts").over(earlier)
-    return hits.withColumn("new_visit", top.isNull() | (F.col("ts") - top > VISIT_SECONDS))
+def earlier_maximum(hits: DataFrame, name: str = "seen", block: int = 1 << 20) -> DataFrame:
+    """Adds the latest time of the visitor's earlier hits in arrival order (id); null for the first.
+
+    A busy visitor's hits are split into blocks of ids: the running maximum inside a block, and that of the blocks
+    before, found in a window over one row a block. Reads hits twice: persist them first.
+    """
+    number = F.floor(F.col("id") / block)
+    rows = hits.withColumn("__block", number)
+    inside = F.max("ts").over(W.partitionBy("ip", "__block").orderBy("id").rowsBetween(W.unboundedPreceding, -1))
+    ends = hits.groupBy("ip", number.alias("__block")).agg(F.max("ts").alias("__top"))
+    before = F.max("__top").over(W.partitionBy("ip").orderBy("__block").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select("ip", "__block", before.alias("__before"))
+    joined = rows.withColumn("__inside", inside).join(ends, ["ip", "__block"], "left")
+    return joined.select(*hits.columns, F.greatest("__inside", "__before").alias(name))  # greatest passes over nulls
+
+
+def arrival_visits(hits: DataFrame, block: int = 1 << 20) -> DataFrame:
+    """new_visit against the running maximum in arrival order (id): an older hit never starts a visit."""
+    top = F.col("__earlier")
+    marked = earlier_maximum(hits, "__earlier", block).withColumn("new_visit", top.isNull() | (F.col("ts") - top > VISIT_SECONDS))
+    return marked.drop("__earlier")
+
+
+def file_visits(hits: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """new_visit of hits from several files (column file), each read on its own, over one shared state.
+
+    Whichever file a worker reads first, a visitor's hits of all files are one sequence in time: files only name where
+    a hit came from, so the result does not depend on their order.
+    """
+    return mark_visits(hits, state)
 
 
 def visit_state(hits: DataFrame, state: DataFrame | None = None) -> DataFrame:

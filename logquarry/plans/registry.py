@@ -56,24 +56,28 @@ def hits(s: SparkSession, d: str, source: str = "orders") -> DataFrame:
 
 
 def geo(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(O.number(a), O.number(b), c, n) for a, b, c, n in O.GEO], "first long, last long, country_code string, country_name string")
+    return s.createDataFrame(O.GEO, "first string, last string, country_code string, country_name string")
 
 
 def located(s: SparkSession, d: str, source: str = "orders") -> DataFrame:
     return enrich.with_country(hits(s, d, source), geo(s))
 
 
+def addresses(s: SparkSession, d: str, source: str = "orders") -> DataFrame:
+    return enrich.with_country(rollup.address_counts(hits(s, d, source)), geo(s))
+
+
 def hourly(s: SparkSession, d: str, source: str = "orders") -> DataFrame:
-    return rollup.hourly(visits.mark_visits(hits(s, d, source)))
+    return rollup.hourly_of(hits(s, d, source))
 
 
 # Parsing
 
 query("p01_parse_line", O.with_records("SELECT * FROM records"))(lambda s, d: records(s, d))
-query("p02_min_length", O.with_records("SELECT octet_length(encode(value)) >= 29 AS long_enough, count(*) AS n FROM lines GROUP BY 1"))(lambda s, d: adapters.lines(s, d).groupBy((F.octet_length("value") + 1 >= 30).alias("long_enough")).agg(F.count("*").alias("n")))
+query("p02_min_length", O.with_records("SELECT octet_length(encode(value)) >= 29 AS long_enough, count(*) AS n FROM lines GROUP BY 1"))(lambda s, d: H.length_classes(adapters.lines(s, d)))
 query("p03_timestamp", O.with_records("SELECT substr(time, 4, 3) AS month, length(time) AS n_chars, count(*) AS n FROM records GROUP BY ALL"))(lambda s, d: records(s, d).groupBy(F.substring("time", 4, 3).alias("month"), F.length("time").cast("long").alias("n_chars")).agg(F.count("*").alias("n")))
 query("p04_ascii_filter", O.with_records("SELECT count(*) AS lines, count(*) FILTER (regexp_matches(value, '^[ -~]*$')) AS printable, (SELECT count(*) FROM records) AS parsed FROM lines"))(
-    lambda s, d: adapters.lines(s, d).agg(F.count("*").alias("lines"), F.count_if(F.col("value").rlike("^[ -~]*$")).alias("printable"), F.count_if(F.size(parsing.split_line(F.col("value"))) == len(parsing.FIELDS)).alias("parsed"))
+    lambda s, d: H.character_counts(adapters.lines(s, d))
 )
 query("p05_status", O.with_records("SELECT status, count(*) AS n FROM records GROUP BY 1"))(lambda s, d: records(s, d).groupBy("status").agg(F.count("*").alias("n")))
 query("p06_bytes_default", O.with_records("SELECT id, status, bytes FROM records"))(lambda s, d: records(s, d).select("id", "status", "bytes"))
@@ -110,14 +114,14 @@ query("p22_weekend", O.with_hits("SELECT DISTINCT date, dayofweek(CAST(date AS D
 query("f01_bot_filter", O.with_hits("SELECT id, ip, url FROM hits"))(lambda s, d: hits(s, d, "events").select("id", "ip", "url"))
 query("f02_self_ref", O.with_hits(O.periods("ref_host", where=f"ref_host IS NOT NULL AND ref_host <> '{SITE}'"), "orders"))(lambda s, d: rollup.referrer_counts(hits(s, d), SITE))
 query("f04_prefix", O.with_hits(f"SELECT * FROM hourly WHERE date LIKE '{MONTH}-%'", "orders"))(lambda s, d: reports.in_period(hourly(s, d), MONTH))
-query("f05_grain", O.with_hits(f"SELECT * FROM ({O.periods('method')}) WHERE length(period) = 4", "orders"))(lambda s, d: rollup.method_counts(hits(s, d)).where("grain = 'year'"))
+query("f05_grain", O.with_hits(f"SELECT * FROM ({O.periods('method')}) WHERE length(period) = 4", "orders"))(lambda s, d: topk.of_grain(rollup.method_counts(hits(s, d)), "year"))
 query("f06_not_latest", O.with_hits(f"SELECT * FROM ({O.periods('method')}) m WHERE period < (SELECT max(period) FROM ({O.periods('method')}) x WHERE length(x.period) = length(m.period))", "orders"))(lambda s, d: topk.not_latest(rollup.method_counts(hits(s, d))))
 query("f07_counts", O.with_hits("SELECT (SELECT count(*) FROM lines) AS lines, (SELECT count(*) FROM records) AS parsed, count(*) AS dated, count(*) FILTER (is_bot) AS bots, count(*) FILTER (NOT is_bot) AS kept FROM all_hits"))(lambda s, d: H.line_counts(adapters.lines(s, d)))
 query("e01_ua_family", O.with_records(f"SELECT DISTINCT user_agent, {O.FAMILY} AS family FROM records"))(lambda s, d: records(s, d).select("user_agent").distinct().select("user_agent", enrich.family(F.col("user_agent")).alias("family")))
 query("e02_bot", O.with_records(f"SELECT DISTINCT user_agent, {O.IS_BOT} AS bot FROM records"))(lambda s, d: records(s, d).select("user_agent").distinct().select("user_agent", enrich.is_bot(F.col("user_agent"), enrich.family(F.col("user_agent"))).alias("bot")))
 query("e03_geo_range", O.with_hits("SELECT id, ip, country_code, country_name FROM located", "events", O.LOCATED))(lambda s, d: located(s, d, "events").select("id", "ip", "country_code", "country_name"))
 query("e04_distinct_enrich", O.with_records(f"SELECT id, {O.FAMILY} AS family FROM records"))(lambda s, d: enrich.by_distinct(records(s, d).select("id", "user_agent"), "user_agent", {"family": enrich.family}).select("id", "family"))
-query("e05_country_dim", O.with_hits("SELECT country_code, coalesce(min(nullif(country_name, 'Unknown')), 'Unknown') AS country_name FROM located GROUP BY 1", "events", O.LOCATED))(lambda s, d: rollup.country_names(located(s, d, "events")))
+query("e05_country_dim", O.with_hits("SELECT country_code, coalesce(min(nullif(country_name, 'Unknown')), 'Unknown') AS country_name FROM located GROUP BY 1", "events", O.LOCATED))(lambda s, d: rollup.country_names(enrich.with_country(rollup.distinct_hosts(hits(s, d, "events")), geo(s))))
 query("e06_flag", "SELECT n_name, CASE WHEN regexp_matches(left(n_name, 2), '^[A-Za-z]{2}$') THEN chr(127397 + ascii(upper(n_name[1]))) || chr(127397 + ascii(upper(n_name[2]))) ELSE '' END AS flag FROM nation")(
     lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_name", enrich.flag(F.substring("n_name", 1, 2)).alias("flag"))
 )
@@ -130,30 +134,33 @@ NAMES = "SELECT country_code, coalesce(min(nullif(country_name, 'Unknown')), 'Un
 
 
 def hosts(s, d):
-    return rollup.host_counts(located(s, d))
+    return rollup.host_counts(addresses(s, d))
 
 
 def names(s, d):
-    return rollup.country_names(located(s, d))
+    return rollup.country_names(addresses(s, d))
 
 
 query("j01_hosts_country", O.with_hits(f"SELECT grain, period, ip, hits, bandwidth, coalesce(h.country_code, '--') AS country_code, coalesce(country_name, 'Unknown') AS country_name FROM ({HOSTS}) h LEFT JOIN ({NAMES}) n USING (country_code)", "orders", O.LOCATED))(
     lambda s, d: reports.with_country_name(hosts(s, d), names(s, d)).select("grain", "period", "ip", "hits", "bandwidth", "country_code", "country_name")
 )
 query("j02_countries_name", O.with_hits(f"SELECT grain, period, country_code, hits, coalesce(country_name, 'Unknown') AS country_name FROM ({O.periods('country_code', 'located')}) c LEFT JOIN ({NAMES}) n USING (country_code)", "orders", O.LOCATED))(
-    lambda s, d: reports.with_country_name(rollup.country_counts(located(s, d)), names(s, d))
+    lambda s, d: reports.with_country_name(rollup.country_counts(addresses(s, d)), names(s, d))
 )
 query("j03_agg_then_join", O.with_hits(f"SELECT country_code, hits, coalesce(country_name, 'Unknown') AS country_name FROM (SELECT country_code, count(*) AS hits FROM located GROUP BY 1) c LEFT JOIN ({NAMES}) n USING (country_code)", "orders", O.LOCATED))(
-    lambda s, d: reports.with_country_name(reports.all_time(rollup.country_counts(located(s, d)), "country_code"), names(s, d))
+    lambda s, d: reports.with_country_name(reports.all_time(rollup.country_counts(addresses(s, d)), "country_code"), names(s, d))
 )
 query("j04_sites_lookup", O.with_hits("SELECT m.*, s.sites FROM (SELECT month, count(*) AS hits FROM hits GROUP BY 1) m LEFT JOIN (SELECT month, count(DISTINCT ip) AS sites FROM hits GROUP BY 1) s USING (month)", "orders"))(
     lambda s, d: reports.with_sites(hits(s, d).groupBy("month").agg(F.count("*").alias("hits")), rollup.distinct_sites(hits(s, d)), "month")
 )
-query("j05_range_join", O.with_hits("SELECT DISTINCT ip, country_code FROM located", "orders", O.LOCATED))(lambda s, d: enrich.with_country(hits(s, d).select("ip").distinct(), geo(s)).select("ip", "country_code"))
+query("j05_range_join", O.with_hits("SELECT DISTINCT ip, country_code FROM located", "orders", O.LOCATED))(lambda s, d: enrich.with_country(rollup.distinct_hosts(hits(s, d)), geo(s)).select("ip", "country_code"))
 SPLIT = 1704931200
 
 
-@query("j06_last_seen", O.with_hits(f"SELECT id, ip, ts, coalesce(ts - coalesce(lag(ts) OVER (PARTITION BY ip ORDER BY ts, id), last_seen) > 1800, TRUE) AS new_visit FROM (SELECT * FROM hits WHERE ts >= {SPLIT}) LEFT JOIN (SELECT ip, max(ts) AS last_seen FROM hits WHERE ts < {SPLIT} GROUP BY 1) USING (ip)"))
+O_LAST_SEEN = f"SELECT id, ip, ts, coalesce(ts - coalesce(lag(ts) OVER (PARTITION BY ip ORDER BY ts, id), last_seen) > 1800, TRUE) AS new_visit FROM (SELECT * FROM hits WHERE ts >= {SPLIT}) LEFT JOIN (SELECT ip, max(ts) AS last_seen FROM hits WHERE ts < {SPLIT} GROUP BY 1) USING (ip)"
+
+
+@query("j06_last_seen", O.with_hits(O_LAST_SEEN))
 def j06_last_seen(s, d):
     h = hits(s, d, "events")
     state = visits.visit_state(h.where(F.col("ts") < SPLIT))
@@ -161,7 +168,10 @@ def j06_last_seen(s, d):
 
 
 query("j06_last_seen_split", _sql["j06_last_seen"])(
-    lambda s, d: visits.mark_visits_split(hits(s, d, "events").where(F.col("ts") >= SPLIT), visits.visit_state(hits(s, d, "events").where(F.col("ts") < SPLIT))).select("id", "ip", "ts", "new_visit")
+    lambda s, d: visits.mark_visits(hits(s, d, "events").where(F.col("ts") >= SPLIT), visits.visit_state(hits(s, d, "events").where(F.col("ts") < SPLIT)), 600).select("id", "ip", "ts", "new_visit")
+)
+query("j06_hourly_state", O.with_hits(f"SELECT date, hour, count(*) AS hits, CAST(sum(CAST(new_visit AS INT)) AS BIGINT) AS visits FROM ({O_LAST_SEEN.replace('id, ip, ts,', '*,')}) GROUP BY ALL"))(
+    lambda s, d: rollup.hourly_of(hits(s, d, "events").where(F.col("ts") >= SPLIT), visits.visit_state(hits(s, d, "events").where(F.col("ts") < SPLIT))).select("date", "hour", "hits", "visits")
 )
 query("j07_anti_processed", O.with_hits(f"SELECT DISTINCT ip FROM hits WHERE ts >= {SPLIT} AND ip NOT IN (SELECT ip FROM hits WHERE ts < {SPLIT})"))(
     lambda s, d: upsert.insert_ignore(hits(s, d, "events").where(F.col("ts") < SPLIT).select("ip").distinct(), hits(s, d, "events").where(F.col("ts") >= SPLIT).select("ip"), ["ip"])
@@ -178,7 +188,7 @@ query("a04_urls", O.with_hits(O.periods("url", sums=BW), "orders"))(lambda s, d:
 query("a05_hosts", O.with_hits(HOSTS, "orders", O.LOCATED))(hosts)
 query("a06_refs", O.with_hits(O.periods("ref_host", where="ref_host IS NOT NULL"), "orders"))(lambda s, d: rollup.referrer_counts(hits(s, d)))
 query("a07_agents", O.with_hits(O.periods("family"), "orders"))(lambda s, d: rollup.agent_counts(hits(s, d)))
-query("a08_countries", O.with_hits(O.periods("country_code", "located"), "orders", O.LOCATED))(lambda s, d: rollup.country_counts(located(s, d)))
+query("a08_countries", O.with_hits(O.periods("country_code", "located"), "orders", O.LOCATED))(lambda s, d: rollup.country_counts(addresses(s, d)))
 query("a09_status", O.with_hits(O.periods("status"), "orders"))(lambda s, d: rollup.status_counts(hits(s, d)))
 query("a10_method", O.with_hits(O.periods("method"), "orders"))(lambda s, d: rollup.method_counts(hits(s, d)))
 query("a11_proto", O.with_hits(O.periods("proto"), "orders"))(lambda s, d: rollup.protocol_counts(hits(s, d)))
@@ -192,7 +202,32 @@ def _bound(exact: DataFrame, estimated: DataFrame) -> DataFrame:
 
 
 WITHIN = O.with_hits(f"SELECT grain, period, TRUE AS within FROM ({GRAINS.replace('{x}', '1 AS x')}) GROUP BY ALL", "orders")
-query("a12_hll_bound", WITHIN)(lambda s, d: _bound(rollup.distinct_sites(hits(s, d)), sketch.estimates(sketch.scope_sketches(sketch.day_sketches(hits(s, d))))))
+
+
+@query("a12_hll_bound", WITHIN)
+def a12_hll_bound(s, d):
+    """Sketches of the days' distinct visitors, so that both sides share one exchange of one parse."""
+    days = rollup.daily_visitors(hits(s, d))
+    return _bound(rollup.distinct_sites(days), sketch.estimates(sketch.scope_sketches(sketch.day_sketches(days))))
+
+
+@query("a14_scopes_from_days", O.with_hits(f"SELECT grain, period, TRUE AS within FROM ({GRAINS.replace('{x}', '1 AS x')}) WHERE grain IN ('month', 'year') GROUP BY ALL", "orders"))
+def a14_scopes_from_days(s, d):
+    """Months and years from the day sketches alone, no hit read again."""
+    days = rollup.daily_visitors(hits(s, d))
+    scopes = sketch.estimates(sketch.scope_sketches(sketch.day_sketches(days))).where("grain IN ('month', 'year')")
+    return _bound(rollup.distinct_sites(days), scopes)
+
+
+@query("m03_sketch_merge", O.with_hits(f"SELECT grain, period, TRUE AS same FROM ({GRAINS.replace('{x}', '1 AS x')}) GROUP BY ALL", "orders"))
+def m03_sketch_merge(s, d):
+    """Merging is idempotent and takes parts in any order."""
+    days = rollup.daily_visitors(hits(s, d))
+    parts = [sketch.scope_sketches(sketch.day_sketches(days.where(F.col("date").endswith(str(k)) == (k == 1)) if k < 2 else days)) for k in (1, 2)]
+    one, two = sketch.merge_sketches(parts[0], parts[1]), sketch.merge_sketches(parts[1], parts[0], parts[1])
+    both = sketch.estimates(one).select("grain", "period", F.col("sites").alias("a")).join(sketch.estimates(two).select("grain", "period", F.col("sites").alias("b")), ["grain", "period"])
+    return both.select("grain", "period", (F.col("a") == F.col("b")).alias("same"))
+
 
 
 @query("a13_hll_merge_bound", WITHIN)
@@ -215,6 +250,16 @@ query("a15_heavy_hitters", O.with_hits(top_sql(URLS, "hits DESC, bandwidth DESC,
 query("a15_approx_hitters", O.with_hits("SELECT family, count(*) AS hits FROM hits GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", "orders"))(lambda s, d: sketch.approx_heavy_hitters(hits(s, d), "family", 5))
 
 
+@query("a15_bounded_hitters", O.with_hits("SELECT month AS period, url, TRUE AS within FROM (SELECT month, url, count(*) AS hits, sum(count(*)) OVER (PARTITION BY month) AS total FROM hits GROUP BY ALL) WHERE hits > total / 30", "orders"))
+def a15_bounded_hitters(s, d):
+    """Every URL above a thirtieth of its month is found with 30 tracked, and its count is within the stated error."""
+    h = hits(s, d)
+    exact = rollup.url_counts(h).where("grain = 'month'").select("period", "url", F.col("hits").alias("exact"))
+    totals = exact.groupBy("period").agg(F.sum("exact").alias("total"))
+    found = exact.join(totals, "period").where("exact > total / 30").join(sketch.bounded_hitters(h, "url", 30), ["period", "url"], "left")
+    return found.select("period", "url", F.coalesce((F.col("hits") <= F.col("exact")) & (F.col("hits") >= F.col("exact") - F.col("error")), F.lit(False)).alias("within"))
+
+
 @query("a16_variants", O.with_hits(f"SELECT grain, period, ip, hits, bandwidth FROM ({top_sql(HOSTS, 'bandwidth DESC, hits DESC, ip', 50)})", "orders", O.LOCATED))
 def a16_variants(s, d):
     return topk.top_per_period(hosts(s, d).drop("country_code"), "ip", 50, "bandwidth", "hits").drop("rn")
@@ -272,15 +317,22 @@ PCT = "round(hits / sum(hits) OVER () * 1000) / 10 AS percent"
 query("a31_percent", O.with_hits(f"SELECT family, hits, {PCT} FROM (SELECT family, count(*) AS hits FROM hits GROUP BY 1 ORDER BY hits DESC, family LIMIT 4)", "orders"))(
     lambda s, d: reports.with_percent(topk.top(reports.all_time(rollup.agent_counts(hits(s, d)), "family"), "family", 4, "hits"))
 )
-query("a32_distinct_hosts", O.with_hits("SELECT DISTINCT ip FROM hits", "orders"))(lambda s, d: hits(s, d).select("ip").dropDuplicates())
+query("a32_distinct_hosts", O.with_hits("SELECT DISTINCT ip FROM hits", "orders"))(lambda s, d: rollup.distinct_hosts(hits(s, d)))
 
 # Visits and windows
 
 query("v01_visits", O.with_hits("SELECT id, ip, ts, new_visit FROM visited"))(lambda s, d: visits.mark_visits(hits(s, d, "events")).select("id", "ip", "ts", "new_visit"))
-query("v01_visits_split", O.with_hits("SELECT id, ip, ts, new_visit FROM visited"))(lambda s, d: visits.mark_visits_split(hits(s, d, "events")).select("id", "ip", "ts", "new_visit"))
+query("v01_visits_split", O.with_hits("SELECT id, ip, ts, new_visit FROM visited"))(lambda s, d: visits.mark_visits(hits(s, d, "events"), slot_seconds=600).select("id", "ip", "ts", "new_visit"))
 query("v02_arrival_order", O.with_hits("SELECT id, ip, ts, coalesce(ts - max(ts) OVER (PARTITION BY ip ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 1800, TRUE) AS new_visit FROM hits"))(
     lambda s, d: visits.arrival_visits(hits(s, d, "events")).select("id", "ip", "ts", "new_visit")
 )
+query("v02_arrival_blocks", _sql["v02_arrival_order"])(lambda s, d: visits.arrival_visits(hits(s, d, "events"), 500).select("id", "ip", "ts", "new_visit"))
+query("v03_shared_state", O.with_hits("SELECT id, ip, 'f' || id % 3 AS file, new_visit FROM visited"))(
+    lambda s, d: visits.file_visits(hits(s, d, "events").withColumn("file", F.expr("'f' || id % 3"))).select("id", "ip", "file", "new_visit")
+)
+query("v06_bots_leave_no_state", O.with_hits("SELECT ip, bool_or(NOT is_bot) AS has_state FROM all_hits GROUP BY 1"))(
+    lambda s, d: rollup.distinct_hosts(H.to_hits(records(s, d))).join(visits.visit_state(hits(s, d, "events")), "ip", "left").select("ip", F.col("last_seen").isNotNull().alias("has_state"))
+)
 query("v04_state_merge", O.with_hits("SELECT ip, max(ts) AS last_seen FROM hits GROUP BY 1"))(lambda s, d: visits.visit_state(hits(s, d, "events").where(F.col("ts") >= SPLIT), visits.visit_state(hits(s, d, "events").where(F.col("ts") < SPLIT))))
 query("v05_state_prune", O.with_hits("SELECT * FROM (SELECT ip, max(ts) AS last_seen FROM hits GROUP BY 1) WHERE last_seen >= (SELECT max(ts) FROM hits) - 1800"))(lambda s, d: visits.prune_state(visits.visit_state(hits(s, d, "events"))))
 query("w01_row_number", O.with_hits(top_sql(URLS, "bandwidth DESC, hits DESC, url"), "orders"))(lambda s, d: topk.top_per_period(rollup.url_counts(hits(s, d)), "url", TOP, "bandwidth", "hits"))
@@ -289,7 +341,7 @@ query("w02_two_pass", O.with_hits(f"SELECT * EXCLUDE (rn, latest) FROM ({top_sql
     lambda s, d: topk.prune(rollup.url_counts(hits(s, d)), "url", 20, 200, "hits", "bandwidth")
 )
 query("w03_running_max", O.with_hits("SELECT id, ip, max(ts) OVER (PARTITION BY ip ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM hits"))(
-    lambda s, d: hits(s, d, "events").selectExpr("id", "ip", "max(ts) OVER (PARTITION BY ip ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen")
+    lambda s, d: visits.earlier_maximum(hits(s, d, "events")).select("id", "ip", "seen")
 )
 query("w04_latest", O.with_hits(LATEST.format(t=URLS), "orders"))(lambda s, d: topk.latest(rollup.url_counts(hits(s, d))))
 
@@ -308,7 +360,7 @@ _top("k03_hosts_hits", hosts, HOSTS, "ip", "hits", "bandwidth", more=(O.LOCATED,
 _top("k04_hosts_bw", hosts, HOSTS, "ip", "bandwidth", "hits", more=(O.LOCATED,))
 _top("k05_refs", lambda s, d: rollup.referrer_counts(hits(s, d), SITE), O.periods("ref_host", where=f"ref_host IS NOT NULL AND ref_host <> '{SITE}'"), "ref_host", "hits")
 _top("k06_agents", lambda s, d: rollup.agent_counts(hits(s, d)), O.periods("family"), "family", "hits")
-_top("k07_countries", lambda s, d: rollup.country_counts(located(s, d)), O.periods("country_code", "located"), "country_code", "hits", more=(O.LOCATED,))
+_top("k07_countries", lambda s, d: rollup.country_counts(addresses(s, d)), O.periods("country_code", "located"), "country_code", "hits", more=(O.LOCATED,))
 CODES = "SELECT 'status' AS kind, CAST(status AS VARCHAR) AS code, count(*) AS hits FROM hits WHERE month = '{m}' GROUP BY ALL UNION ALL SELECT 'method', method, count(*) FROM hits WHERE month = '{m}' GROUP BY ALL UNION ALL SELECT 'proto', proto, count(*) FROM hits WHERE month = '{m}' GROUP BY ALL".replace("{m}", MONTH)
 
 
@@ -320,6 +372,9 @@ def k08_codes(s, d):
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).orderBy("kind", F.desc("hits"), "code")
 
 
+query("k10_partial_select", O.with_hits(f"SELECT * FROM ({URLS}) ORDER BY bandwidth DESC, hits DESC, url, grain, period LIMIT 15", "orders"))(
+    lambda s, d: rollup.url_counts(hits(s, d)).orderBy(F.desc("bandwidth"), F.desc("hits"), "url", "grain", "period").limit(15)
+)
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY grain, period ORDER BY hits DESC, bandwidth DESC, url) AS rh, row_number() OVER (PARTITION BY grain, period ORDER BY bandwidth DESC, hits DESC, url) AS rb FROM ({URLS})"
 
 
@@ -341,12 +396,19 @@ query(
 
 # Sets and merges
 
-query("u01_union_all", O.with_hits("SELECT id, ip FROM hits WHERE ts % 2 = 0 UNION ALL SELECT id, ip FROM hits WHERE ts % 3 = 0"))(
-    lambda s, d: hits(s, d, "events").where("ts % 2 = 0").select("id", "ip").unionByName(hits(s, d, "events").where("ts % 3 = 0").select("id", "ip"))
-)
-query("u02_set_union", O.with_hits("SELECT ip FROM hits WHERE ts % 2 = 0 UNION SELECT ip FROM hits WHERE ts % 3 = 0"))(
-    lambda s, d: hits(s, d, "events").where("ts % 2 = 0").select("ip").union(hits(s, d, "events").where("ts % 3 = 0").select("ip")).distinct()
-)
+LEDGER_SQL = "SELECT '/logs/' || p_size || '/' || p_partkey % 50 AS path, p_partkey % 90 AS inode, CAST(floor(p_retailprice) AS BIGINT) AS done, p_size FROM part"
+
+
+def ledger_rows(s, d) -> tuple[DataFrame, DataFrame]:
+    """(live, archived) ledger entries with paths and inodes that repeat; some entries are in both."""
+    rows = s.sql(LEDGER_SQL.replace("FROM part", "FROM {part}"), part=s.read.parquet(f"{d}/part.parquet"))
+    return rows.where("p_size >= 20").drop("p_size"), rows.where("p_size < 30").drop("p_size")
+
+
+LIVE, ARCHIVED = (f"SELECT path, inode, done FROM ({LEDGER_SQL}) WHERE p_size {x}" for x in (">= 20", "< 30"))
+query("u01_union_all", f"{LIVE} UNION ALL {ARCHIVED}")(lambda s, d: upsert.union_all(*ledger_rows(s, d)))
+query("u02_set_union", f"{LIVE} UNION {ARCHIVED}")(lambda s, d: upsert.distinct_union(*ledger_rows(s, d)))
+query("u04_distinct_files", f"SELECT path FROM ({LIVE}) UNION SELECT path FROM ({ARCHIVED})")(lambda s, d: upsert.distinct_rows(upsert.union_all(*ledger_rows(s, d)), ["path"]))
 
 
 @query("u03_insert_ignore", O.with_hits("SELECT DISTINCT ip FROM hits"))
@@ -356,13 +418,13 @@ def u03_insert_ignore(s, d):
     return old.unionByName(upsert.insert_ignore(old, h.select("ip"), ["ip"]))
 
 
-query("u05_dedupe_retired", O.with_hits("SELECT DISTINCT ip, date FROM hits"))(lambda s, d: hits(s, d, "events").select("ip", "date").dropDuplicates(["ip", "date"]))
+query("u05_dedupe_retired", f"SELECT DISTINCT path, inode FROM ({ARCHIVED})")(lambda s, d: upsert.distinct_rows(ledger_rows(s, d)[1], ["path", "inode"]))
 
 
 @query("m01_additive", O.with_hits(f"SELECT date, hour, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('hits', 'bandwidth'))} FROM hourly GROUP BY ALL"))
 def m01_additive(s, d):
-    h = visits.mark_visits(hits(s, d, "events"))
-    parts = [rollup.hourly(h.where(F.col("id") % 2 == k)).select("date", "hour", "hits", "bandwidth") for k in (0, 1)]
+    h = hits(s, d, "events")
+    parts = [rollup.hourly_of(h.where(F.col("id") % 2 == k)).select("date", "hour", "hits", "bandwidth") for k in (0, 1)]
     return upsert.additive(*parts, ["date", "hour"], ["hits", "bandwidth"])
 
 
@@ -386,6 +448,31 @@ query(
     O.with_hits("SELECT month, string_agg(label, ',' ORDER BY date) AS labels, string_agg(CAST(hits AS VARCHAR), ',' ORDER BY date) AS hits FROM (SELECT substr(date, 1, 7) AS month, date, split_part(date, '-', 3) AS label, count(*) AS hits FROM hits GROUP BY ALL) GROUP BY month", "orders"),
 )(lambda s, d: reports.chart_data(hits(s, d).groupBy("date").agg(F.count("*").alias("hits"))))
 
+
+def _shares_sql(table: str, key: str, n: int, *more: str) -> str:
+    ranked = f"SELECT *, sum(hits) OVER (PARTITION BY grain, period) AS total, row_number() OVER (PARTITION BY grain, period ORDER BY hits DESC, {key}) AS rn FROM ({table})"
+    parts = f"SELECT grain, period, least(rn, {n + 1}) AS place, CASE WHEN rn <= {n} THEN CAST({key} AS VARCHAR) ELSE 'Other' END AS label, CAST(sum(hits) AS BIGINT) AS hits, any_value(total) AS total FROM ({ranked}) GROUP BY ALL"
+    return O.with_hits(f"SELECT grain, period, string_agg(label || ' (' || printf('%.1f', round(hits / total * 1000) / 10) || '%)', ',' ORDER BY place) AS labels, string_agg(CAST(hits AS VARCHAR), ',' ORDER BY place) AS hits FROM ({parts}) GROUP BY ALL", "orders", *more)
+
+
+query("o06_status_shares", _shares_sql(STATUS, "status", 3))(lambda s, d: reports.share_data(rollup.status_counts(hits(s, d)), "status", 3))
+query("o06_agent_shares", _shares_sql(O.periods("family"), "family", 4))(lambda s, d: reports.share_data(rollup.agent_counts(hits(s, d)), "family", 4))
+query("o06_country_shares", _shares_sql(O.periods("country_code", "located"), "country_code", 2, O.LOCATED))(lambda s, d: reports.share_data(rollup.country_counts(addresses(s, d)), "country_code", 2))
+query(
+    "o06_activity",
+    O.with_hits("SELECT substr(date, 1, 7) AS month, " + ", ".join(f"string_agg({x}, ',' ORDER BY date) AS {c}" for c, x in (("labels", "right(date, 2)"), ("hits", "hits || ''"), ("pages", "pages || ''"), ("files", "files || ''"), ("megabytes", "printf('%.2f', round(CAST(bandwidth AS DOUBLE) / 1048576 * 100) / 100)"))) + " FROM (SELECT date, sum(hits) AS hits, sum(pages) AS pages, sum(files) AS files, sum(bandwidth) AS bandwidth FROM hourly GROUP BY 1) GROUP BY 1", "orders"),
+)(lambda s, d: reports.activity_data(reports.daily(hourly(s, d))))
+
+
+@query("f03_switches", "SELECT u AS urls, r AS refs, h AS hosts, t AS tab FROM (VALUES (TRUE), (FALSE)) a(u), (VALUES (TRUE), (FALSE)) b(r), (VALUES (TRUE), (FALSE)) c(h), (VALUES ('hourly'), ('agents'), ('status'), ('methods'), ('protocols'), ('sketches'), ('countries'), ('country_names'), ('urls'), ('refs'), ('hosts')) x(t) WHERE (t <> 'urls' OR u) AND (t <> 'refs' OR r) AND (t <> 'hosts' OR h)")
+def f03_switches(s, d):
+    """The tables that a store with these switches keeps."""
+    from .store import Options
+
+    rows = [(u, r, h, t) for u in (True, False) for r in (True, False) for h in (True, False) for t in Options(urls=u, refs=r, hosts=h).tables(countries=True)]
+    return s.createDataFrame(rows, "urls boolean, refs boolean, hosts boolean, tab string")
+
+
 # Formats
 
 ORDERS_N = "SELECT o_orderkey AS k, CAST(floor(o_totalprice * o_totalprice * (o_orderkey % 7) * (o_orderkey % 1000)) AS BIGINT) AS n FROM orders"
@@ -409,6 +496,8 @@ query(
     "x03_bytes",
     "SELECT k, CASE WHEN n < 1024 THEN n || ' B' " + " ".join(f"WHEN n < {1024 ** (p + 1)} THEN printf('%.{c}f', n / {1024**p}) || ' {u}'" for p, u, c in ((1, "KB", 1), (2, "MB", 1), (3, "GB", 2), (4, "TB", 2))) + f" ELSE printf('%.2f', n / {1024**5}) || ' PB' END AS shown FROM ({ORDERS_N})",
 )(lambda s, d: numbers(s, d).select("k", fmt.byte_size(F.col("n")).alias("shown")))
+query("x12_exact", f"SELECT k, format('{{:,}}', n) AS shown FROM ({ORDERS_N})")(lambda s, d: numbers(s, d).select("k", fmt.estimate_text(F.col("n"), 24).alias("shown")))
+query("x12_compact", COMPACT)(lambda s, d: numbers(s, d).select("k", fmt.estimate_text(F.col("n"), 14).alias("shown")))
 query("x04_percent", f"SELECT k, printf('%.1f', round(k / (k + 977) * 1000) / 10) || '%' AS shown FROM ({ORDERS_N})")(lambda s, d: numbers(s, d).select("k", fmt.percent_text(F.col("k"), F.col("k") + 977).alias("shown")))
 
 

@@ -20,7 +20,11 @@ from ..plans.store import Store
 from ..schema import MONTH_NAMES
 from . import charts
 
-STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{padding:2px 8px;text-align:right;border-bottom:1px solid #ddd}td:first-child,th:first-child{text-align:left}\n"
+STYLE = "figure{margin:1em 0}svg{max-width:720px;font-size:10px}.legend{list-style:none;padding:0;display:flex;flex-wrap:wrap;gap:8px}.legend i{display:inline-block;width:10px;height:10px;margin-right:4px}body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{padding:2px 8px;text-align:right;border-bottom:1px solid #ddd}td:first-child,th:first-child{text-align:left}\n"
+
+
+#: Share charts: table (and drawing), key, keys shown by name.
+SHARES = (("status", "status", 5), ("countries", "country_code", 9), ("agents", "family", 9))
 
 
 def _page(title: str, body: str) -> str:
@@ -28,16 +32,28 @@ def _page(title: str, body: str) -> str:
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title><link rel="stylesheet" href="/assets/style.css"></head><body><h1>{html.escape(title)}</h1>{body}<p>Generated {stamp}</p></body></html>'
 
 
-def _table(title: str, rows: list[dict], columns: list[str]) -> str:
+def _text(column: str, value, compact_sites: bool) -> str:
+    """A cell: sizes in units, counts with thousands marked, estimated visitors with three figures if they are not exact."""
+    if column.split("_")[-1] == "bandwidth":
+        return fmt.byte_text(int(value))
+    if column == "status":
+        return str(value)
+    if column == "sites" and compact_sites:
+        return fmt.compact_text(int(value))
+    return f"{value:,}" if isinstance(value, int) else str(value)
+
+
+def _table(title: str, rows: list[dict], columns: list[str], compact_sites: bool = False) -> str:
     if not rows:
         return ""  # empty sections are left out
     head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(r.get(c, '')))}</td>" for c in columns) + "</tr>" for r in rows)
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(_text(c, r.get(c, ''), compact_sites))}</td>" for c in columns) + "</tr>" for r in rows)
     return f"<h2>{html.escape(title)}</h2><table><tr>{head}</tr>{body}</table>"
 
 
 def _chart(name: str, spec: str) -> str:
-    return f'<script type="application/json" class="chart" id="{name}">{spec.replace("</", "<\\/")}</script>'
+    """Drawn, and as JSON for other programs."""
+    return charts.svg(spec) + f'<script type="application/json" class="chart" id="{name}">{spec.replace("</", "<\\/")}</script>'
 
 
 def _rows(df: DataFrame | None, *order: str) -> list[dict]:
@@ -45,14 +61,24 @@ def _rows(df: DataFrame | None, *order: str) -> list[dict]:
 
 
 def _by_period(df: DataFrame | None, key: str, n: int | None, *metrics: str) -> dict[str, list[dict]]:
+    """Each period's rows, best first; all of them without n (codes, methods and protocols are few by their nature)."""
     out: dict[str, list[dict]] = defaultdict(list)
     if df is not None:
-        ranked = topk.top_per_period(df, key, n or 1000, *metrics)
-        for r in _rows(ranked, "period", "rn"):
+        ranked = df if n is None else topk.top_per_period(df, key, n, *metrics)
+        for r in _rows(ranked, "period", *(F.desc(m) for m in metrics), key):
             out[r["period"]].append(r)
     return out
 
 
+def _shares(df: DataFrame | None, key: str, n: int) -> dict[str, list[dict]]:
+    """Each period's n most frequent keys and one row Other: what a share chart draws, whatever the number of keys."""
+    out: dict[str, list[dict]] = defaultdict(list)
+    if df is not None:
+        for r in _rows(topk.head_and_other(df, key, n), "period", "position"):
+            out[r["period"]].append({key: r["label"], "hits": r["hits"], "rest": r["position"] > n})
+    return out
+
+
 def generate(store: Store, out_dir: str) -> list[str]:
     """Writes the pages; returns their paths. Without data only the assets are written."""
     os.makedirs(f"{out_dir}/assets", exist_ok=True)
@@ -61,7 +87,7 @@ def generate(store: Store, out_dir: str) -> list[str]:
     hourly = store.table("hourly")
     if hourly is None or hourly.isEmpty():
         return []
-    n = store.options.top_n
+    n, few = store.options.top_n, fmt.use_compact(store.options.precision)
     hourly = hourly.persist()
     sites = {r["period"]: r["sites"] for r in _rows(store.sites(), "period")}
     days, months, years = (_rows(df, k) for df, k in ((reports.daily(hourly), "date"), (reports.months(hourly), "month"), (reports.years(hourly), "year")))
@@ -78,6 +104,8 @@ def generate(store: Store, out_dir: str) -> list[str]:
         "Methods": (_by_period(store.table("methods"), "method", None, "hits"), ["method", "hits"]),
         "Protocols": (_by_period(store.table("protocols"), "proto", None, "hits"), ["proto", "hits"]),
     }
+    averages = {p: (reports.daily_averages(hourly, p).first().asDict(), reports.hourly_averages(hourly, p).first().asDict()) for p in (m["month"] for m in months)}
+    shares = {t: _shares(store.table(t), k, n) for t, k, n in SHARES}
     hourly.unpersist()
     written = []
 
@@ -95,38 +123,43 @@ def generate(store: Store, out_dir: str) -> list[str]:
 
     def sections(period: str, skip: tuple[str, ...] = ()) -> str:
         out = "".join(_table(t, rows[period], cols) for t, (rows, cols) in ranked.items() if t not in skip)
-        for name, draw, (rows, _) in (("status", charts.status, ranked["Status codes"]), ("countries", charts.countries, ranked["Countries"]), ("agents", charts.agents, ranked["Browsers"])):
-            if rows[period]:
-                out += _chart(name, draw(rows[period]))
-        return out
+        return out + "".join(_chart(t, getattr(charts, t)(shares[t][period])) for t, _, _ in SHARES if shares[t][period])
+
+    def averaged(month: str) -> str:
+        day, hour = averages[month]
+        names = ("hits", "files", "pages", "visits", "sites", "bandwidth")
+        rows = [{"per day": c, "average": _text(c, day[f"avg_{c}"], False), "maximum": _text(c, day[f"max_{c}"], False)} for c in names]
+        return _table("Daily averages", rows, ["per day", "average", "maximum"]) + _table("Hourly averages", [{"per hour": "hits", "average": hour["avg_hits"], "maximum": hour["max_hits"]}], ["per hour", "average", "maximum"])
 
     for r in months:
         month, own = r["month"], [d for d in days if d["date"].startswith(r["month"])]
         seen = {h["hour"]: h for h in hours if h["month"] == month}
         dense = [seen.get(i) or dict.fromkeys(("hits", "pages", "files", "bandwidth", "visits"), 0) | {"hour": i} for i in range(24)]
-        body = _table("Totals", [r], ["month", *columns]) + _table("Days", own, ["date", *columns]) + sections(month)
+        body = _table("Totals", [r], ["month", *columns], few) + averaged(month) + _table("Days", own, ["date", *columns], few) + _table("Hours", dense, ["hour", "hits", "files", "pages", "visits", "bandwidth"]) + sections(month)
         body += _chart("daily", charts.daily(own)) + _chart("daily-visits", charts.daily_visits(own)) + _chart("hourly", charts.hourly(dense))
         save(f"{month}/index.html", f"{MONTH_NAMES[int(month[5:7]) - 1]} {month[:4]}", body)
     for r in years:
         own = [m for m in months if m["month"].startswith(r["year"])]
         labels = [MONTH_NAMES[int(m["month"][5:7]) - 1][:3] for m in own]
-        body = _table("Totals", [r], ["year", *columns]) + _table("Months", own, ["month", *columns]) + sections(r["year"], ("Top referrers",))
-        body += _chart("months", charts.activity("Monthly Overview", labels, own, 3)) + _chart("visits", charts.visit_bars(labels, own))
+        body = _table("Totals", [r], ["year", *columns], few) + _table("Months", own, ["month", *columns], few) + sections(r["year"], ("Top referrers",))
+        body += _chart("months", charts.activity("Monthly Overview", labels, own)) + _chart("visits", charts.visit_bars(labels, own))
         save(f"{r['year']}/index.html", f"Year {r['year']}", body)
     labels = [y["year"] for y in years]
     links = "".join(f'<li><a href="{y["year"]}/index.html">{y["year"]}</a></li>' for y in reversed(years)) + "".join(f'<li><a href="{m["month"]}/index.html">{m["month"]}</a></li>' for m in reversed(months))
     total = [{c: sum(y[c] for y in years) for c in columns if c != "sites"} | {"sites": sites.get("__all__", 0), "all": "all"}]
-    body = _table("Totals", total, ["all", *columns]) + _table("Years", years, ["year", *columns]) + f"<ul>{links}</ul>"
-    body += _chart("years", charts.activity("Yearly Overview", labels, years, 3)) + _chart("visits", charts.visit_bars(labels, years))
-    for name, draw, table, key in (("status", charts.status, "status", "status"), ("countries", charts.countries, "countries", "country_code"), ("agents", charts.agents, "agents", "family")):
+    body = _table("Totals", total, ["all", *columns], few) + _table("Years", years, ["year", *columns], few) + f"<ul>{links}</ul>"
+    body += _chart("years", charts.activity("Yearly Overview", labels, years)) + _chart("visits", charts.visit_bars(labels, years))
+    for table, key, most in SHARES:
         counts = store.table(table)
         if counts is not None:
-            rows = _rows(topk.top(reports.all_time(counts, key), key, 1000, "hits"), F.desc("hits"), key)
-            body += _chart(name, draw(rows)) if rows else ""
+            whole = reports.all_time(counts, key).select(F.lit("all").alias("grain"), F.lit("__all__").alias("period"), key, "hits")
+            rows = _shares(whole, key, most)["__all__"]
+            body += _chart(table, getattr(charts, table)(rows)) if rows else ""
     save("index.html", "Access statistics", body)
     return written
 
 
+
 def formatted(rows: DataFrame) -> DataFrame:
     """Adds the shown text of hits and bandwidth to report rows."""
     return rows.withColumn("hits_text", fmt.compact(F.col("hits"))).withColumn("bandwidth_text", fmt.byte_size(F.col("bandwidth")))

@@ -59,13 +59,22 @@ PALETTE = ("#52c493", "#66ddff", "#ff7a7a", "#ffc055", "#7090ff", "#ffea66", "#b
 STATUS_COLOURS = {2: "#52c493", 3: "#7090ff", 4: "#ffc055", 5: "#ff7a7a"}
 OTHER_COLOUR = "#bab0ac"
 
-#: Browser families by the first rule that holds: the agent starts with, has any of, or has all of the texts. Own rules.
+#: Families by the first rule that holds: the agent starts with, has any of, or has all of the texts. Own rules, from the
+#: product tokens that each program puts in its agent; what imitates another's token comes before it.
 FAMILY_RULES = (
     ("Googlebot", "any", ("Googlebot",)), ("bingbot", "any", ("bingbot",)), ("YandexBot", "any", ("YandexBot",)), ("AhrefsBot", "any", ("AhrefsBot",)),
-    ("curl", "start", ("curl/",)), ("Wget", "start", ("Wget/",)), ("python-requests", "start", ("python-requests/",)), ("Python-urllib", "start", ("Python-urllib/",)),
-    ("Go-http-client", "start", ("Go-http-client/",)), ("Java", "start", ("Java/",)), ("Apache-HttpClient", "start", ("Apache-HttpClient/",)), ("libwww-perl", "any", ("libwww-perl",)),
-    ("Edge", "any", ("Edg/", "Edge/", "EdgA/", "EdgiOS/")), ("Opera", "any", ("OPR/", "Opera")), ("Samsung Internet", "any", ("SamsungBrowser/",)), ("Vivaldi", "any", ("Vivaldi/",)),
-    ("Firefox", "any", ("Firefox/", "FxiOS/")), ("Chrome", "any", ("Chrome/", "CriOS/")), ("Safari", "all", ("Version/", "Safari/")), ("Internet Explorer", "any", ("MSIE ", "Trident/")),
+    ("SemrushBot", "any", ("SemrushBot",)), ("MJ12bot", "any", ("MJ12bot",)), ("DotBot", "any", ("DotBot",)), ("PetalBot", "any", ("PetalBot",)), ("Applebot", "any", ("Applebot",)),
+    ("DuckDuckBot", "any", ("DuckDuckBot",)), ("Baiduspider", "any", ("Baiduspider",)), ("Yahoo! Slurp", "any", ("Yahoo! Slurp",)), ("Twitterbot", "any", ("Twitterbot",)), ("LinkedInBot", "any", ("LinkedInBot",)),
+    ("FacebookBot", "any", ("facebookexternalhit", "Facebot")), ("Bytespider", "any", ("Bytespider",)),
+    ("curl", "start", ("curl/",)), ("Wget", "start", ("Wget/",)), ("python-requests", "start", ("python-requests/",)), ("Python-urllib", "start", ("Python-urllib/",)), ("Python aiohttp", "any", ("aiohttp/",)),
+    ("Go-http-client", "start", ("Go-http-client/",)), ("Java", "start", ("Java/",)), ("Apache-HttpClient", "start", ("Apache-HttpClient/",)), ("libwww-perl", "any", ("libwww-perl",)), ("okhttp", "start", ("okhttp/",)), ("axios", "start", ("axios/",)),
+    ("HeadlessChrome", "any", ("HeadlessChrome/",)), ("PhantomJS", "any", ("PhantomJS/",)), ("Electron", "any", ("Electron/",)),
+    ("Edge", "any", ("Edg/", "Edge/", "EdgA/", "EdgiOS/")), ("Opera Mini", "any", ("Opera Mini/",)), ("Opera", "any", ("OPR/", "Opera", "OPT/")), ("Samsung Internet", "any", ("SamsungBrowser/",)), ("Vivaldi", "any", ("Vivaldi/",)),
+    ("Yandex Browser", "any", ("YaBrowser/",)), ("UC Browser", "any", ("UCBrowser/", "UBrowser/")), ("QQ Browser", "any", ("QQBrowser/",)), ("Whale", "any", ("Whale/",)), ("MiuiBrowser", "any", ("MiuiBrowser/",)), ("Huawei Browser", "any", ("HuaweiBrowser/",)),
+    ("DuckDuckGo", "any", ("DuckDuckGo/", "Ddg/")), ("Amazon Silk", "any", ("Silk/",)), ("Puffin", "any", ("Puffin/",)), ("Maxthon", "any", ("Maxthon",)), ("Epiphany", "any", ("Epiphany/",)), ("Konqueror", "any", ("Konqueror/",)),
+    ("SeaMonkey", "any", ("SeaMonkey/",)), ("Pale Moon", "any", ("PaleMoon/",)), ("Waterfox", "any", ("Waterfox/",)), ("Firefox Focus", "any", ("Focus/", "Klar/")), ("Firefox", "any", ("Firefox/", "FxiOS/")),
+    ("Chromium", "any", ("Chromium/",)), ("Chrome", "any", ("Chrome/", "CriOS/")), ("Android Browser", "all", ("Android", "Version/")), ("Safari", "all", ("Version/", "Safari/")), ("Internet Explorer", "any", ("MSIE ", "Trident/")),
+    ("Lynx", "start", ("Lynx/",)), ("w3m", "start", ("w3m/",)),
 )
 
 LINES = T.StructType([T.StructField("id", T.LongType()), T.StructField("value", T.StringType())])

@@ -44,6 +44,22 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(paths).select(F.monotonically_increasing_id().alias("id"), "value")
 
 
+def read_whole(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(absolute path, value) of whole files by Spark's text reader: plain and bzip2 files are split, all of it stays in the JVM."""
+    if not paths:
+        return spark.createDataFrame([], "path string, value string")
+    lines = spark.read.option("lineSep", "\n").text(paths).select("value", F.col("_metadata.file_path").alias("uri"))
+    path = F.call_function("url_decode", F.replace(F.regexp_replace("uri", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    return lines.select(path.alias("path"), "value")
+
+
+def terminated(path: str) -> bool:
+    """Whether a plain file ends with a newline (or is empty)."""
+    with open(path, "rb") as f:
+        size = f.seek(0, os.SEEK_END)
+        return not size or (f.seek(size - 1), f.read(1))[1] == b"\n"
+
+
 def open_decoded(path: str):
     """A reader of the decoded bytes; members of gzip and streams of bzip2 are read on end."""
     kind = compression(path)
@@ -96,13 +112,13 @@ def read_ranges(spark: SparkSession, ranges: list[tuple[str, int, int | None]])
     return table.mapInPandas(run, LINE_DDL)
 
 
-def line_ranges(path: str, parts: int) -> list[tuple[str, int, int]]:
-    """About equal byte ranges of a plain file, moved to line starts, so that each line is in one range."""
+def line_ranges(path: str, parts: int, start: int = 0) -> list[tuple[str, int, int]]:
+    """About equal byte ranges of a plain file from start on, moved to line starts, so that each line is in one range."""
     size = os.path.getsize(path)
-    edges = {0, size}
+    edges = {start, size}
     with open(path, "rb") as f:
         for i in range(1, parts):
-            f.seek(size * i // parts)
+            f.seek(start + (size - start) * i // parts)
             f.readline()
             edges.add(min(f.tell(), size))
     order = sorted(edges)

@@ -145,3 +145,76 @@ def test_carriage_returns_do_not_split(tmp_path, spark):
     p = tmp_path / "a.log"
     p.write_bytes(b"a\rb\nc\xff\n")
     assert [r["value"] for r in files.read_lines(spark, [str(p)]).collect()] == ["a\rb", "c\ufffd"]
+
+
+def test_unchanged_files_are_skipped_unread(tmp_path, runner, monkeypatch):
+    a, b = write(tmp_path / "a.log", text(0, 200)), write(tmp_path / "b.log.gz", text(0, 90, "other"), gzip.open)
+    assert runner.run(a, b) == 290
+    monkeypatch.setattr(ledger, "open_decoded", lambda *_: pytest.fail("decoded"))
+    monkeypatch.setattr("builtins.open", lambda *_, **__: pytest.fail("opened"))
+    plans = ledger.plan([a, b], runner.ledger)
+    monkeypatch.undo()
+    assert [p.read for p in plans] == [False, False] and all(p.entry.completed for p in plans)
+
+
+def test_touched_file_is_told_by_its_head(tmp_path, runner):
+    p = write(tmp_path / "a.log", text(100, 300))
+    runner.run(p)
+    os.utime(p, ns=(1, 1))
+    assert runner.run(p) == 0
+    size = os.path.getsize(p)
+    write(p, text(300, 500))  # the same size and another head
+    assert os.path.getsize(p) == size and runner.run(p) == 200
+
+
+@pytest.mark.parametrize(("opener", "suffix"), [(open, ""), (gzip.open, ".gz")])
+def test_interrupted_file_goes_on(tmp_path, opener, suffix):
+    """An entry that is not completed: the next run reads what is left, also if the file has grown meanwhile."""
+    p = write(tmp_path / f"a.log{suffix}", text(0, 400), opener)
+    plans = ledger.plan([p], [])
+    lines = list(files.tail_lines(p, 0, None))
+    done = lines[150][0]
+    part = ledger.update([], plans, {p: done}, {p})
+    assert [(e.completed, e.done) for e in part] == [(False, done)]
+    again = ledger.plan([p], part)[0]
+    assert again.read and again.start == done
+    assert [x for _, x in files.tail_lines(p, again.start, None)] == [x for _, x in lines[150:]]
+    write(p, text(400, 405), opener, "ab")
+    grown = ledger.plan([p], part)[0]
+    assert len(list(files.tail_lines(p, grown.start, None))) == 255
+    whole = ledger.update(part, [grown], {p: 10**6})
+    assert [e.completed for e in whole] == [True] and not ledger.plan([p], whole)[0].read
+
+
+def test_many_entries_are_planned_by_look_up(tmp_path):
+    """Two thousand files against a ledger of two thousand entries: no entry is scanned for a file."""
+    import time
+
+    paths = [write(tmp_path / f"{i}.log", [f"file {i}"]) for i in range(2000)]
+    entries = ledger.update([], ledger.plan(paths, []), {})
+    began = time.time()
+    assert not any(p.read for p in ledger.plan(paths, entries))
+    assert time.time() - began < 2
+
+
+def test_whole_files_and_names(tmp_path, spark):
+    """Paths come back as they were, whatever is in them."""
+    names = ["plain.log", "with space.log", "plus+percent%20.log", "umlaut-ä.log", "z.log.gz"]
+    paths = [write(tmp_path / n, [f"in {n}", "second"], gzip.open if n.endswith("gz") else open) for n in names]
+    want = {p: {f"in {n}", "second"} for p, n in zip(paths, names, strict=True)}
+    got = {}
+    for r in files.read_whole(spark, paths).collect():
+        got.setdefault(r["path"], set()).add(r["value"])
+    assert got == want
+    assert files.read_whole(spark, []).count() == 0
+    assert files.terminated(paths[0]) and files.terminated(write(tmp_path / "empty", []))
+    (tmp_path / "open").write_bytes(b"a\nb")
+    assert not files.terminated(str(tmp_path / "open"))
+
+
+def test_ranges_from_a_start(tmp_path, spark):
+    p = write(tmp_path / "a.log", text(0, 300))
+    start = list(files.tail_lines(p, 0, None))[120][0]
+    ranges = files.line_ranges(p, 5, start)
+    assert len(ranges) == 5 and ranges[0][1] == start
+    assert sorted(r["value"] for r in files.read_ranges(spark, ranges).collect()) == sorted(text(120, 300))

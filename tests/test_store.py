@@ -52,6 +52,54 @@ def test_batches_equal_one_run_and_replay_adds_nothing(spark, tmp_path, lines, m
     assert {r["period"]: r["count"] for r in urls} == {"2025-01": 2, "2025-02": 18}
 
 
+def test_two_writers(spark, tmp_path, lines, make_line, monkeypatch):
+    """Both read the same version; the second to publish applies its change to the first's, and no batch is lost."""
+    texts = some_lines(make_line)
+    whole, one, two = Store(spark, str(tmp_path / "w")), Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    whole.add_batch("1", lines(texts[:80]))
+    whole.add_batch("2", lines(texts[80:]))
+    publish, met = Store._publish, []
+
+    def late(store, manifest):
+        if store is two and not met:
+            met.append(manifest["version"])
+            assert one.add_batch("1", lines(texts[:80]))
+        return publish(store, manifest)
+
+    monkeypatch.setattr(Store, "_publish", late)
+    assert two.add_batch("2", lines(texts[80:]))
+    monkeypatch.undo()
+    assert sorted(one.manifest()["batches"]) == ["1", "2"] and one.manifest()["version"] == 2 and met == [0]
+    for name in ("urls", "agents", "status", "visit_state"):
+        assert sorted(map(str, whole.table(name).collect())) == sorted(map(str, one.table(name).select(*whole.table(name).columns).collect())), name
+    assert not two.add_batch("1", lines(texts[:80]))
+
+
+def test_compaction_meets_a_batch_and_vacuum(spark, tmp_path, lines, make_line, monkeypatch):
+    texts = some_lines(make_line)
+    store = Store(spark, str(tmp_path / "s"))
+    store.add_batch("1", lines(texts[:100]))
+    publish, met = Store._publish, []
+
+    def late(self, manifest):
+        if not met:
+            met.append(1)
+            Store(spark, store.root).add_batch("2", lines(texts[100:]))
+        return publish(self, manifest)
+
+    monkeypatch.setattr(Store, "_publish", late)
+    store.compact(prune=False)
+    monkeypatch.undo()
+    assert store.table("hourly").agg(F.sum("hits")).first()[0] == 240 - 22
+    before = {t: sorted(map(str, store.table(t).collect())) for t in ("hourly", "urls", "sketches") if t != "sketches"}
+    assert store.vacuum(keep=1, older_than_seconds=3600) == 0
+    assert store.vacuum(keep=1, older_than_seconds=-5) > 0
+    assert {t: sorted(map(str, store.table(t).collect())) for t in before} == before
+    assert len(store._versions()) == 1
+    listed = {d for dirs in store.manifest()["tables"].values() for d in dirs}
+    assert {f"{t.name}/{d.name}" for t in (tmp_path / "s").iterdir() if t.name != "manifests" for d in t.iterdir()} == listed
+
+
 def test_unfinished_batch_is_invisible(spark, tmp_path, lines, make_line, monkeypatch):
     store = Store(spark, str(tmp_path / "s"))
     store.add_batch("1", lines(some_lines(make_line, 20)))
@@ -89,6 +137,18 @@ def test_visit_starts_in_a_stream(spark, tmp_path):
     assert {(r["ip"], r["id"]) for r in spark.table("starts").collect()} == {("a", 1), ("a", 3), ("b", 4)}
 
 
+def test_visit_state_expires_in_a_stream(spark, tmp_path):
+    """Visitors a week apart: each one's state goes once the hits' time has passed it by a day."""
+    folder, day = tmp_path / "hits", 86_400
+    for k in range(5):
+        spark.createDataFrame([(f"v{k}{i}", 10 * k + i, 7 * day * (k + 1) + i) for i in range(6)], "ip string, id long, ts long").coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema("ip string, id long, ts long").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    q = ingest.visit_starts(stream).writeStream.format("memory").queryName("weekly").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(200)
+    assert spark.table("weekly").count() == 30
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 30
+
+
 def test_command_line(spark, tmp_path, make_line):
     texts = some_lines(make_line)
     (tmp_path / "a.log").write_text("".join(t + "\n" for t in texts[:200]) + "broken\n")
@@ -109,6 +169,61 @@ def test_command_line(spark, tmp_path, make_line):
     assert "r1.test" not in (tmp_path / "out/2025-01/index.html").read_text()
 
 
+def test_run_in_parts_and_after_a_crash(spark, tmp_path, make_line, monkeypatch):
+    """Two large files over many batches; a run that dies keeps what it had published, and the next reads the rest."""
+    texts = [make_line(f"10.0.0.{i % 9}", f"01/Jan/2025:{i // 250:02d}:{i // 60 % 60:02d}:{i % 60:02d} +0000", f"GET /p{i} HTTP/1.1") for i in range(6000)]
+    (tmp_path / "a.log").write_text("".join(t + "\n" for t in texts[:3000]))
+    (tmp_path / "b.log").write_text("".join(t + "\n" for t in texts[3000:]) + "un")
+    cfg = config.load(None, {"logs": f"{tmp_path}/*.log", "store": str(tmp_path / "st"), "batch_bytes": 260_000, "range_bytes": 45_000})
+    plans = cli.ledger.plan(cli.files.expand_globs(cfg.logs), [])
+    parts = cli.parts_of(plans, cfg.batch_bytes, cfg.range_bytes)
+    assert len(parts) >= 3 and sum(len(p.ranges) for p in parts) > 10 and not any(p.whole for p in parts)
+    add, calls = Store.add_batch, []
+
+    def dies(self, *args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return add(self, *args)
+
+    monkeypatch.setattr(Store, "add_batch", dies)
+    with pytest.raises(RuntimeError):
+        cli.process(spark, cfg)
+    monkeypatch.undo()
+    store = Store(spark, cfg.store)
+    first = reports.totals(store.table("hourly")).first()["hits"]
+    left = [e for e in store.manifest()["ledger"] if not e["completed"]]
+    assert 0 < first < 6000 and len(left) == 1 and left[0]["done"] > 0
+    assert cli.process(spark, cfg) == 6000 - first
+    assert reports.totals(store.table("hourly")).first()["hits"] == 6000 and cli.process(spark, cfg) == 0
+    assert all(e["completed"] for e in store.manifest()["ledger"] if not e["retired"])
+    with open(tmp_path / "b.log", "a") as f:
+        f.write("ended\n" + texts[0] + "\n")
+    assert cli.process(spark, cfg) == 1
+
+
+def test_pages_are_drawn_and_formatted(spark, tmp_path, lines, make_line, geo):
+    store = Store(spark, str(tmp_path / "s"))
+    many = [make_line(f"10.0.0.{i % 7}", f"{1 + i % 28:02d}/Jan/2025:{i % 24:02d}:00:00 +0000", f"GET /p{i % 3} HTTP/1.1", 200 + i % 40, 5_000_000) for i in range(1200)]
+    store.add_batch("1", lines(many), geo)
+    site.generate(store, str(tmp_path / "out"))
+    month = (tmp_path / "out/2025-01/index.html").read_text()
+    assert month.count("<svg") >= 6 and "<td>1,200</td>" in month and "5.59 GB" in month
+    for part in ("Daily averages", "Hourly averages", "Hours", "Other (", "Daily Activity"):
+        assert part in month, part
+    assert all(f"<td>{200 + k}</td>" in month for k in range(40))  # every code, not the first of them only
+
+
+def test_countries_of_both_kinds(spark):
+    from logquarry.functions import enrich
+
+    ranges = spark.createDataFrame([("10.0.0.0", "10.0.255.255", "DE", "Germany"), ("2001:db8::", "2001:db8:0:ffff:ffff:ffff:ffff:ffff", "NL", "Netherlands"), ("2001:db8:8000::", "2001:dc0::", "SE", "Sweden")], "first string, last string, country_code string, country_name string")
+    ips = {"10.0.3.4": "DE", "010.0.0.0": "DE", "10.1.0.0": "--", "2001:DB8::1": "NL", "2001:db8:1::": "--", "2001:db8:0:ffff::9": "NL", "2001:dbf:ffff::": "SE", "2001:dc0::": "SE", "2001:dc0::1": "--", "::1": "--", "name": "--", "": "--", None: "--"}
+    got = enrich.with_country(spark.createDataFrame([(i,) for i in ips], "ip string"), ranges).collect()
+    assert {r["ip"]: r["country_code"] for r in got} == ips
+    assert enrich.with_country(spark.createDataFrame([("1.2.3.4",)], "ip string"), ranges.limit(0)).first()["country_name"] == "Unknown"
+
+
 def test_no_data_writes_assets_only(spark, tmp_path):
     assert site.generate(Store(spark, str(tmp_path / "s")), str(tmp_path / "out")) == []
     assert os.path.exists(tmp_path / "out/assets/style.css")
@@ -138,6 +253,14 @@ def test_chart_shares():
     assert charts.percent(1, 0) == 0.0 and charts.half_up(0.125, 2) == 0.13
 
 
+@pytest.mark.parametrize("n", [0, 7, 999, 1000, 1023, 1024, 1234, 9994, 9995, 99_949, 99_950, 999_499, 999_500, 999_999, 1_048_576, 1_500_000, 10**9, 10**12 - 1, 5 * 10**15, 2**55])
+def test_texts_equal_columns(spark, n):
+    from logquarry.functions import fmt
+
+    r = spark.createDataFrame([(n,)], "n long").select(fmt.compact(F.col("n")).alias("c"), fmt.byte_size(F.col("n")).alias("b")).first()
+    assert (fmt.compact_text(n), fmt.byte_text(n)) == (r["c"], r["b"])
+
+
 def test_formatted_rows(spark):
     r = site.formatted(spark.createDataFrame([(1234, 2048)], "hits long, bandwidth long")).first()
     assert (r["hits_text"], r["bandwidth_text"]) == ("1.23k", "2.0 KB")
