@@ -250,13 +250,13 @@ query("a15_heavy_hitters", O.with_hits(top_sql(URLS, "hits DESC, bandwidth DESC,
 query("a15_approx_hitters", O.with_hits("SELECT family, count(*) AS hits FROM hits GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5", "orders"))(lambda s, d: sketch.approx_heavy_hitters(hits(s, d), "family", 5))
 
 
-@query("a15_bounded_hitters", O.with_hits("SELECT month AS period, url, TRUE AS within FROM (SELECT month, url, count(*) AS hits, sum(count(*)) OVER (PARTITION BY month) AS total FROM hits GROUP BY ALL) WHERE hits > total / 30", "orders"))
+@query("a15_bounded_hitters", O.with_hits("SELECT month AS period, url, TRUE AS within FROM (SELECT *, sum(hits) OVER (PARTITION BY month) AS total FROM (SELECT month, url, count(*) AS hits FROM hits GROUP BY ALL)) WHERE hits > total / 100", "orders"))
 def a15_bounded_hitters(s, d):
-    """Every URL above a thirtieth of its month is found with 30 tracked, and its count is within the stated error."""
+    """Every URL above a hundredth of its month is found with 100 tracked, and its count is within the stated error."""
     h = hits(s, d)
     exact = rollup.url_counts(h).where("grain = 'month'").select("period", "url", F.col("hits").alias("exact"))
     totals = exact.groupBy("period").agg(F.sum("exact").alias("total"))
-    found = exact.join(totals, "period").where("exact > total / 30").join(sketch.bounded_hitters(h, "url", 30), ["period", "url"], "left")
+    found = exact.join(totals, "period").where("exact > total / 100").join(sketch.bounded_hitters(h, "url", 100), ["period", "url"], "left")
     return found.select("period", "url", F.coalesce((F.col("hits") <= F.col("exact")) & (F.col("hits") >= F.col("exact") - F.col("error")), F.lit(False)).alias("within"))
 
 
