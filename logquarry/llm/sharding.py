@@ -39,10 +39,10 @@ def _network(x: np.ndarray, half: int, seed: int, back: bool = False) -> np.ndar
 
 def permute(numbers, n: int, seed: int = 0, back: bool = False) -> np.ndarray:
     """Where each number of 0..n-1 goes (or, back, came from): a permutation of 0..n-1 fixed by the seed."""
-    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    half = max(1, round((max(n - 1, 1).bit_length() + 1) / 2))  # a half goes to the even number, as in the query's SQL
     x = _network(np.asarray(numbers, np.uint64), half, seed, back)
     out = np.flatnonzero(x >= n)
-    while len(out):  # cycle walking; the domain is at most 4 n, so few steps are needed
+    while len(out):  # cycle walking; the domain is at most 8 n, so few steps are needed
         x[out] = _network(x[out], half, seed, back)
         out = out[x[out] >= n]
     return x.astype(np.int64)

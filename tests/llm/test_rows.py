@@ -43,6 +43,30 @@ def test_shards(docs, odd, clash):
     assert sharding.shard(docs([]), 16).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 10, 33, 200, 520, 1000, 4097, 10_000])
+def test_permutation_matches_sql(n):
+    """At row counts of every kind of domain: odd and even bit lengths, those whose half the SQL rounds up and down."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE TABLE documents AS SELECT i AS doc_id, 'a' AS text FROM range({n}) t(i)")
+    at = sharding.permute(np.arange(n), n, 0x5EED)
+    want = con.sql(f"SELECT doc_id, shard, slot FROM ({queries.OP4_SQL}) ORDER BY doc_id").fetchall()
+    assert want == list(zip(range(n), (at % 16).tolist(), (at // 16).tolist(), strict=True))
+
+
+def test_sharding_query_matches_sql(spark):
+    """1000 documents: their row numbers have 10 bits."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{folder}/documents.parquet'")
+    want = con.sql(queries.OP4_SQL)
+    got = queries.op4_sharding(spark, folder).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
 def test_row_numbers(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k")).repartition(7)
     rows = common.with_row_numbers(df, ["k"]).collect()
