@@ -35,7 +35,12 @@ def merge_sketches(*parts: DataFrame) -> DataFrame:
 
 
 def estimates(sketches: DataFrame) -> DataFrame:
-    return sketches.withColumn("sites", F.hll_sketch_estimate("sketch"))
+    """Adds sites, which follows from the set of visitors alone, not from how often and in what order sketches were merged.
+
+    A sketch that was never merged with another of its kind also carries a running estimate, which depends on the order of
+    its input and is gone after a merge. The union with itself keeps all registers and leaves only the estimate from these.
+    """
+    return sketches.withColumn("sites", F.hll_sketch_estimate(F.hll_union("sketch", "sketch")))
 
 
 def approx_heavy_hitters(df: DataFrame, item: str, k: int, tracked: int = 10_000) -> DataFrame:

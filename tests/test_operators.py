@@ -163,6 +163,21 @@ def test_sketch_merge(spark):
     assert len(rows) == 4 and all(1000 < r["sites"] < 1200 for r in rows)
 
 
+@pytest.mark.parametrize("precision", [4, 10, 14])
+@pytest.mark.parametrize("step", [3, 700, 5000])
+def test_estimates_do_not_depend_on_merges(spark, precision, step):
+    """Of few, some and many visitors (listed ones, registers only after the merge, registers before it)."""
+
+    def part(a, b):
+        rows = spark.range(a * step, b * step).select(F.lit("2024-01-01").alias("date"), F.col("id").cast("string").alias("ip"))
+        return sketch.scope_sketches(sketch.day_sketches(rows, precision))
+
+    a, b, c, whole = part(0, 1), part(1, 2), part(2, 4), part(0, 4)
+    merges = [whole, sketch.merge_sketches(whole), sketch.merge_sketches(whole, whole), sketch.merge_sketches(a, b, c), sketch.merge_sketches(c, a, b, a), sketch.merge_sketches(sketch.merge_sketches(b, a), c), sketch.merge_sketches(whole, a)]
+    got = {tuple(sorted((r["grain"], r["sites"]) for r in sketch.estimates(m).collect())) for m in merges}
+    assert len(got) == 1 and all(abs(n - 4 * step) <= max(1, 4 * step * 5 * 1.04 / 2 ** (precision / 2)) for _, n in got.pop())
+
+
 def test_conditional_country(spark):
     old = spark.createDataFrame([("a", "--"), ("b", "DE"), ("c", "DE")], "ip string, country_code string")
     new = spark.createDataFrame([("a", "FR"), ("b", "--"), ("c", "US"), ("d", "--")], "ip string, country_code string")
